@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vetloom.llm.mixing import plan_sql
 from vetloom.session import ship
 
 
@@ -30,8 +31,32 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vetloom.llm.mixing import plan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vetloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vetloom.llm.idfiles import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_mix_sources": op4_mix_sources,
+    "op6_pack_windows": op6_pack_windows,
+    "op10_id_files": op10_id_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mix_sources": plan_sql(),
+}
