@@ -34,11 +34,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """Words of a text, which is the number of places where one starts."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    # a word is a run without spaces; squeezing them leaves one space before each but the first
-    squeezed = F.trim(F.regexp_replace(plain, "  +", " "))
-    spaces = F.length(squeezed) - F.length(F.translate(squeezed, " ", ""))
-    return F.when(squeezed == "", 0).otherwise(spaces + 1).cast("long")
+    # white space becomes one space a run; in most runs it is one already
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+    spaces = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit("")))
+    return F.when(plain == "", 0).otherwise(spaces + 1).cast("long")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """docs with size instead of text, the only column of size that plan() needs."""
+    return docs.drop("size").withColumn("size", words(F.col("text"))).drop("text")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -63,12 +67,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """docs with size, source_size, target, served_before (words of the source ahead of it) and taken."""
-    added = ("size", "source_size", "target", "served_before", "taken", "shuffle_key", "bucket", "ahead")
+    """docs with size, source_size, target, served_before (words of the source ahead of it) and taken.
+
+    docs are documents, or the table that sized() makes of them, which saves reading texts twice.
+    """
+    rows = docs.drop("source_size", "target", "served_before", "taken", "shuffle_key", "bucket", "ahead")
+    if "text" in docs.columns:
+        rows = rows.drop("size").withColumn("size", words(F.col("text")))
     rows = (
-        docs.drop(*added)
-        .withColumn("size", words(F.col("text")))
-        .withColumn("shuffle_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        rows.withColumn("shuffle_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
         .withColumn("bucket", F.substring("shuffle_key", 1, 3))
     )
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetloom.llm.mixing import plan_sql
-from vetloom.session import ship
+from vetloom.session import materialise, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vetloom.llm.vectors import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vetloom.llm.mixing import plan
+    from vetloom.llm.mixing import plan, sized
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return plan(materialise(sized(docs), "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vetloom.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    scored = toxicity.score(docs, toxicity.learn(docs, labels, ~held_out))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +60,18 @@ def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vetloom.llm.urlfilter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vetloom.llm.vectors import near_links
+
+    return near_links(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vetloom.llm.idfiles import round_trip
 
@@ -52,8 +80,12 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_nearest": op3_nearest,
     "op4_mix_sources": op4_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op6_pack_windows": op6_pack_windows,
+    "op7_url_filter": op7_url_filter,
+    "op8_near_vectors": op8_near_vectors,
     "op10_id_files": op10_id_files,
 }
 
