@@ -1,20 +1,60 @@
-"""The corpus pipeline: stages applied one after another to the documents table."""
+"""The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, sources
+are mixed to their target weights, and what is left is packed into windows.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. The first
+three return the columns of documents; mixing returns a document once for each time it is served.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vetloom.llm import jaccard, mixing, packing, toxicity
+from vetloom.llm.queries import vocabulary
+from vetloom.session import materialise, ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the labelled documents among docs, and keep those that score below the threshold."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean(docs, toxicity.learn(docs, labels, F.lit(True)))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles of five words and a similarity of 0.8 or more."""
+    ship(spark)
+    return jaccard.one_of_each(docs, 5, 4, 5)
 
-STAGES: list = []
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix serves at least half of it."""
+    ship(spark)
+    return mixing.mixed(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 4096 tokens."""
+    ship(spark)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("pack_windows", pack_windows),
+]
+
+#: Fitting, hashing and tokenising have no SQL form; tests/llm/test_pipeline.py checks the stages instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vetloom.session import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
-    for _, stage in STAGES[-1:]:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,6 +31,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vetloom.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vetloom.llm.vectors import nearest
 
@@ -80,6 +86,7 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_nearest": op3_nearest,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
