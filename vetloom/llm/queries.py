@@ -78,6 +78,13 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vetloom.llm.pitmanyor import score
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    return score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vetloom.llm.idfiles import round_trip
 
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pack_windows": op6_pack_windows,
     "op7_url_filter": op7_url_filter,
     "op8_near_vectors": op8_near_vectors,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_id_files": op10_id_files,
 }
 
