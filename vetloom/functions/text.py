@@ -41,8 +41,9 @@ def count_of(text: Column, phrases: Sequence[str]) -> Column:
 
 def unnegated(text: Column, phrase: str, cues: Sequence[str] = NEGATION_CUES, window: int = NEGATION_WINDOW) -> Column:
     """Whether some occurrence of the phrase has no cue in the window of characters before it."""
-    behind = "".join(rf"(?<!{re.escape(c)}[\s\S]{{0,{window - len(c)}}})" for c in cues)
-    return F.contains(text, F.lit(phrase)) & F.rlike(text, F.lit(behind + re.escape(phrase)))
+    # the phrase is looked for first, as looking back is dear
+    behind = f"(?={re.escape(phrase)})" + "".join(rf"(?<!{re.escape(c)}[\s\S]{{0,{window - len(c)}}})" for c in cues)
+    return F.contains(text, F.lit(phrase)) & F.rlike(text, F.lit(behind))
 
 
 def unnegated_hits(text: Column, phrases: Sequence[str]) -> Column:

@@ -39,9 +39,13 @@ def red_flags(text: Column, phrases: Sequence[str] = L.RED_FLAGS, ai: Sequence[s
     return F.when(none, 5).when(cautious, 3).otherwise(0), ~none & ~cautious, found
 
 
-def evidence(text: Column, data: Sequence[str] = L.DATA_SIGNALS, experience: Sequence[str] = L.EXPERIENCE_SIGNALS) -> tuple[Column, Column]:
-    """Maximal hits of data signals that aren't negated, and of experience signals."""
-    return T.maximal(T.unnegated_hits(text, data)), T.maximal(T.hits(text, experience))
+def with_evidence(rows: DataFrame, text: str = "norm", data: Sequence[str] = L.DATA_SIGNALS, experience: Sequence[str] = L.EXPERIENCE_SIGNALS) -> DataFrame:
+    """rows with data and experience: maximal hits of data signals that aren't negated, and of experience signals.
+
+    The hits are columns of their own first, so that they are found once and not for each comparison.
+    """
+    rows = rows.withColumn("data", T.unnegated_hits(F.col(text), data)).withColumn("experience", T.hits(F.col(text), experience))
+    return rows.withColumn("data", T.maximal(F.col("data"))).withColumn("experience", T.maximal(F.col("experience")))
 
 
 def verdict(data: Column, experience: Column) -> Column:
@@ -114,8 +118,7 @@ def scoreboard(docs: DataFrame, replies: DataFrame, meta: DataFrame | None = Non
         title, year, authors = T.inferred_title(F.col("text")), T.first_year(F.col("text")), T.author_candidates(F.col("text"), most=3)
         journal = doi = blank
     norm = F.col("norm")
-    data, experience = evidence(norm)
-    rows = rows.withColumn("data", data).withColumn("experience", experience)
+    rows = with_evidence(rows)
     rows = rows.join(answered, "doc_id", "left").join(scored, "doc_id", "left")
     overrides = {
         "Structural Completeness": (structure_override(F.col("text"), norm), F.lit(20)),

@@ -173,7 +173,7 @@ ORACLE: dict[str, str] = {
     "domain_relevance": f"{DOCS} SELECT doc_id, {some(L.DOMAIN_KEYWORDS)} AS relevant, len({hits(L.DOMAIN_KEYWORDS)})::BIGINT AS keywords, array_to_string({hits(L.DOMAIN_KEYWORDS)}, '; ') AS found FROM n",
     "reference_section": f"{DOCS} SELECT doc_id, {REFERENCES} AS has_references, {CITES} AS cites_references FROM n",
     "metadata_completeness": f"{DOCS}{META} SELECT doc_id, title, year, score::BIGINT AS score, score >= 5 AS passed, array_to_string(found, '; ') AS found, array_to_string(missing, '; ') AS missing FROM meta2",
-    "author_candidates": f"SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'alba rivas cortez; ' WHEN 2 THEN 'Prof John Smith; ' WHEN 4 THEN 'alba and cortez; ' ELSE '' END || 'Dr. Jane Quinn Doe' AS authors FROM documents",
+    "author_candidates": f"SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'alba rivas cortez; ' WHEN 2 THEN 'Prof John Smith; ' WHEN 4 THEN 's: alba and cortez; ' ELSE '' END || 'Dr. Jane Quinn Doe' AS authors FROM documents",
     "word_chunks": f"WITH {WORDS} SELECT * FROM chunks",
     "char_chunks_1500": chars(L.BLOCK_CHUNK, L.BLOCK_OVERLAP),
     "char_chunks_2500": chars(L.LINE_CHUNK, L.LINE_OVERLAP),

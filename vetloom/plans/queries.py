@@ -56,8 +56,7 @@ def red_flag_criterion(t):
 
 @query
 def experience_verdict(t):
-    data, experience = V.evidence(F.col("norm"))
-    rows = normal(t).select("doc_id", data.alias("data"), experience.alias("experience"))
+    rows = V.with_evidence(normal(t))
     v = V.verdict(F.col("data"), F.col("experience"))
     return rows.select("doc_id", v.alias("verdict"), V.experience_score(v).cast("long").alias("score"), joined(F.array_sort("data")).alias("data_hits"), joined(F.array_sort("experience")).alias("experience_hits"))
 
