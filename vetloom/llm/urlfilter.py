@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetloom.session import materialise
+
 DEPTH = 4
 WIDE = 30
 SIMILAR = 2.0
@@ -83,7 +85,7 @@ def shape(path: Column, depth: int = DEPTH) -> Column:
 
 def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """host, shape, template of counts(host, shape array, n, good, bad), one row a shape."""
-    rows = counts.withColumn("template", F.lit(""))
+    rows = materialise(counts.withColumn("template", F.lit("")), "shapes")
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")]
     for level in range(depth + 1):
         here = rows.withColumn("part", F.get("shape", F.lit(level))).where("part IS NOT NULL")
@@ -101,6 +103,7 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         rows = rows.withColumn("part", F.get("shape", F.lit(level)))
         rows = rows.join(named, (rows["host"] == named["h"]) & (rows["template"] == named["t"]) & (rows["part"] == named["p"]), "left").drop("h", "t", "p", "part")
         rows = rows.withColumn("template", F.concat("template", F.when(F.col("label").isNotNull(), F.concat(F.lit("/"), "label")).otherwise(""))).drop("label")
+        rows = materialise(rows, "shapes")  # each level reads the one before three times
     return rows
 
 
