@@ -19,7 +19,7 @@ from vetloom.sources.model import prompt
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-STAMP = F.lit("20260101_000000")
+STAMP = "20260101_000000"
 
 
 def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -327,12 +327,12 @@ def manual_override(t):
 
 @query
 def review_queue(t):
-    return V.review_queue(board(t), STAMP)
+    return V.review_queue(board(t), F.lit(STAMP))
 
 
 @query
 def log_record(t):
-    rows = V.records(board(t), STAMP, F.concat(F.lit("é a-b."), F.col("doc_id")))
+    rows = V.records(board(t), F.lit(STAMP), F.concat(F.lit("é a-b."), F.col("doc_id")))
     return rows.drop("criteria").withColumn("hard_fails", joined("hard_fails"))
 
 
