@@ -13,7 +13,7 @@ def table(spark, n=400, dims=16, seed=0):
     m = m.astype(np.float32)
     m[50:60] = m[0]
     rows = [(i, [float(x) for x in v], 1, 1) for i, v in enumerate(m)]
-    odd = [None, [], [0.0] * dims, [float("nan")] * dims, [None] * dims, [float("inf")] + [1.0] * (dims - 1)]
+    odd = [None, [], [0.0] * dims, [float("nan")] * dims, [None] * dims, [float("inf")] + [1.0] * (dims - 1), [1.0, 2.0]]
     return m.astype(np.float64), spark.createDataFrame(rows + [(n + i, v, 1, 1) for i, v in enumerate(odd)], SCHEMA)
 
 
@@ -36,10 +36,10 @@ def test_links(spark, monkeypatch, per_pivot):
             break
         label = after
     got = {r.vec_id: r for r in V.near_links(df).collect()}
-    assert len(got) == len(m) + 6
+    assert len(got) == len(m) + 7
     for i in range(len(m)):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (hit[i].sum() - 1, label[i], label[i] == i), i
-    for i in range(len(m), len(m) + 6):
+    for i in range(len(m), len(m) + 7):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert V.near_links(df.limit(0)).count() == 0
 

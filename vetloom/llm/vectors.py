@@ -1,7 +1,7 @@
 """Vectors: reading, pivot range joins by cosine, and nearest neighbours through stable projections.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part in links
-or searches; neither do those whose length differs from that of the first usable one. Repeated
+or searches; neither do those whose length isn't the most common one (the greater on ties). Repeated
 rows and ids are compared like any others; extra columns are ignored, whatever their names; an
 empty table gives an empty table.
 """
@@ -31,15 +31,23 @@ def usable(v: Column) -> Column:
     return F.coalesce(F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def usable_rows(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+def usable_rows(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
+    """(id, vec) of the rows that take part, and their length."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
+    common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    n = common.n if common else 0
+    return rows.where(F.size("vec") == n), n
 
 
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
+def from_bytes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+
+
 def units(m: np.ndarray) -> np.ndarray:
     m = m / np.abs(m).max(axis=1, keepdims=True)  # so that no square overflows
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -48,10 +56,10 @@ def units(m: np.ndarray) -> np.ndarray:
 # --- metric range join ----------------------------------------------------------------------
 
 #: Rows a pivot; and most pivots, which bounds what is sent to every task.
-ROWS_PER_PIVOT = 2000
+ROWS_PER_PIVOT = 4000
 PIVOTS = 1024
 #: A cell's own members meet all its members in pieces of at most about SLICE times BLOCK.
-SLICE, BLOCK = 400, 4000
+SLICE, BLOCK = 6000, 8000
 #: Rounding of distances; cells take in a little more than they need.
 SLACK = 1e-9
 
@@ -83,23 +91,34 @@ def cells(rows: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            near = units(matrix(pdf["vec"])) @ pivots.T
+            m = units(matrix(pdf["vec"]))
+            near = m @ pivots.T
             home = near.argmax(axis=1)
             reach = (near[np.arange(len(near)), home][:, None] - near) / gaps[home]
             row, cell = np.nonzero(reach <= radius + SLACK)
-            out = pdf.iloc[row].reset_index(drop=True)
-            out["cell"], out["own"] = cell.astype(np.int32), cell == home[row]
-            yield out
+            packed = np.array([v.tobytes() for v in m], object)
+            uid, weight = pdf["uid"].to_numpy(), pdf["weight"].to_numpy()
+            for i in range(0, len(row), 20_000):
+                r, c = row[i : i + 20_000], cell[i : i + 20_000]
+                yield pd.DataFrame({"uid": uid[r], "unit": packed[r], "weight": weight[r], "cell": c.astype(np.int32), "own": c == home[r]})
 
-    return rows.mapInPandas(run, "uid long, vec array<double>, weight long, cell int, own boolean")
+    return rows.mapInPandas(run, "uid long, unit binary, weight long, cell int, own boolean")
 
 
 def linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
-    """Which rows of a and b, unit vectors, have at least the given cosine; close cases are summed exactly."""
-    near = a @ b.T
-    found = near >= cosine
-    for i, j in zip(*np.nonzero(np.abs(near - cosine) < 1e-13)):
-        found[i, j] = math.fsum(a[i] * b[j]) >= cosine
+    """Which rows of a and b, unit vectors, have at least the given cosine.
+
+    Single precision finds what may; those pairs are taken again in double, the close ones summed exactly.
+    """
+    found = (a.astype(np.float32) @ b.astype(np.float32).T) >= cosine - 1e-4
+    i, j = np.nonzero(found)
+    for k in range(0, len(i), 100_000):
+        x, y = i[k : k + 100_000], j[k : k + 100_000]
+        near = np.einsum("ij,ij->i", a[x], b[y])
+        sure = near >= cosine
+        for at in np.nonzero(np.abs(near - cosine) < 1e-13)[0]:
+            sure[at] = math.fsum(a[x[at]] * b[y[at]]) >= cosine
+        found[x, y] = sure
     return found
 
 
@@ -110,9 +129,9 @@ def _join_piece(cosine: float):
         Gives each own member's number of links here, and a forest of links that joins what they join.
         """
         mine = pdf["own"].to_numpy()
-        a, b = units(matrix(pdf["vec"][mine])) if mine.any() else None, units(matrix(pdf["vec"][~mine])) if not mine.all() else None
-        if a is None or b is None:
-            return pd.DataFrame({"a": [], "b": [], "near": []})
+        if mine.all() or not mine.any():
+            return pd.DataFrame({"a": [], "b": [], "near": []}).astype("int64")
+        a, b = from_bytes(pdf["unit"][mine]), from_bytes(pdf["unit"][~mine])
         ids_a, ids_b, weight = pdf["uid"].to_numpy()[mine], pdf["uid"].to_numpy()[~mine], pdf["weight"].to_numpy()[~mine]
         label = np.arange(len(b))
         near = np.zeros(len(a), np.int64)
@@ -144,7 +163,8 @@ def near_links(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_c
     Equal vectors are one node of their count, so copies are never compared with each other. A
     cell's own members meet all its members in slices and blocks, so a cell of any size is dealt out.
     """
-    rows = materialise(usable_rows(df, id_col, vec_col).withColumn("h", F.xxhash64("vec")), "vectors")
+    rows, length = usable_rows(df, id_col, vec_col)
+    rows = materialise(rows.withColumn("h", F.xxhash64("vec")), "vectors")
     nodes = rows.groupBy("h", "vec").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     nodes = materialise(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
     n = nodes.count()
@@ -156,7 +176,7 @@ def near_links(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_c
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = dealt.where("own").withColumn("slice", F.pmod(part, "slices")).withColumn("block", upto("blocks"))
     every = dealt.where("slices > 0").withColumn("own", F.lit(False)).withColumn("block", F.pmod(part, "blocks")).withColumn("slice", upto("slices"))
-    pieces = own.unionByName(every).select("cell", "slice", "block", "uid", "vec", "weight", "own")
+    pieces = own.unionByName(every).select("cell", "slice", "block", "uid", "unit", "weight", "own")
     found = materialise(pieces.groupBy("cell", "slice", "block").applyInPandas(_join_piece(cosine), "a long, b long, near long"), "links")
     near = found.groupBy("a").agg((F.sum("near") - 1).alias("n_links"))  # but for the vector itself
     joined = components(found.select("a", "b"))
@@ -164,7 +184,8 @@ def near_links(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_c
     least = of.groupBy("component").agg(F.min("id").alias("component_id"))
     of = of.join(least, "component").join(near, F.col("uid") == near["a"]).select("h", "vec", "n_links", "component_id")
     known = rows.join(of, ["h", "vec"]).select("id", "n_links", "component_id")
-    rest = df.where(~usable(F.col(vec_col).cast("array<double>")) | F.col(id_col).isNull())
+    other = F.coalesce(F.size(vec_col), F.lit(-1)) != length
+    rest = df.where(~usable(F.col(vec_col).cast("array<double>")) | F.col(id_col).isNull() | other)
     rest = rest.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
     every = known.union(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
     return every.withColumnRenamed("id", id_col)
@@ -255,7 +276,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     The index is dealt to trees of about INDEX_BLOCK rows and the queries to chunks; every chunk
     meets every block, and each query's best of all blocks are ranked.
     """
-    rows = materialise(usable_rows(df, id_col, vec_col), "vectors")
+    rows = materialise(usable_rows(df, id_col, vec_col)[0], "vectors")
     asked = rows.where(is_query)
     n, n_queries = rows.count(), asked.count()
     blocks, chunks = max(1, -(-n // INDEX_BLOCK)), max(1, -(-n_queries // QUERY_CHUNK))
