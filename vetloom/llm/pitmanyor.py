@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -66,6 +67,20 @@ def unpacked(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Ascending numbers as small steps, which pack well; np.cumsum gives them back."""
+    return np.diff(ascending, prepend=0).astype(np.uint32)
+
+
+def coarse(x: np.ndarray) -> np.ndarray:
+    """Positive numbers as logarithms in 16 bits, to about one part in 6000."""
+    return np.clip(np.rint((np.log2(np.maximum(x, 2.0**-8)) + 8) * 2048), 0, 65535).astype(np.uint16)
+
+
+def fine(x: np.ndarray) -> np.ndarray:
+    return 2.0 ** (x / 2048.0 - 8)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -77,8 +92,6 @@ def ending(word: bytes) -> int:
 
 
 def bucket_of(word: bytes, buckets: int) -> int:
-    import zlib
-
     return zlib.crc32(word) % buckets
 
 
@@ -133,7 +146,8 @@ class Block:
             if lo < hi:
                 i, j = np.searchsorted(owner, [lo, hi])
                 own = order[lo:hi]
-                yield block, b, None, packed([words[k] for k in own], own.astype(np.int32), (owner[i:j] - lo).astype(np.int32), (keys[i:j] & 127).astype(np.uint8), n[i:j])
+                size = np.bincount(owner[i:j] - lo, minlength=hi - lo).astype(np.uint8)
+                yield block, b, None, packed(b" ".join(words[k] for k in own), steps(own), size, (keys[i:j] & 127).astype(np.uint8), n[i:j].astype(np.uint32))
 
 
 def blocks(docs: DataFrame, held: Column, buckets: int) -> DataFrame:
@@ -175,13 +189,13 @@ def merged(found: DataFrame) -> DataFrame:
         number = defaultdict(count().__next__)
         asks, keys, sums = [], [], []
         for block, data in zip(table.column("block").to_pylist(), table.column("data").to_pylist()):
-            words, own, owner, restaurant, n = unpacked(data)
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            words, own, size, restaurant, n = unpacked(data)
+            at = np.fromiter(map(number.__getitem__, words.split(b" ")), np.int64, len(size))
             asks.append((block, own, at.astype(np.int32)))
-            keys.append(at[owner] * 128 + restaurant)
+            keys.append(np.repeat(at, size) * 128 + restaurant)
             sums.append(n)
         keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(where, np.concatenate(sums), minlength=len(keys)).astype(np.int64)
+        n = np.bincount(where, np.concatenate(sums), minlength=len(keys)).astype(np.uint32)
         data = packed(len(number), (keys >> 7).astype(np.int32), (keys & 127).astype(np.uint8), n, asks)
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
 
@@ -208,7 +222,7 @@ def alone_table(d: float) -> np.ndarray:
 class Seating:
     """The restaurants of one bucket's words: customers and tables of each word in each."""
 
-    def __init__(self, n_words: int, word: np.ndarray, restaurant: np.ndarray, n: np.ndarray, discount: np.ndarray, alone: list[np.ndarray]):
+    def __init__(self, word: np.ndarray, restaurant: np.ndarray, n: np.ndarray, discount: np.ndarray, alone: list[np.ndarray]):
         self.discount, self.alone = discount, alone
         own = np.asarray(word, np.int64)
         parent_key, up = np.unique(own * 128 + PARENT[restaurant], return_inverse=True)
@@ -294,7 +308,7 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     buckets = merged(found)
 
     def first(_, data):
-        n_words, word, restaurant, n, _ = data
+        _, word, restaurant, n, _ = data
         yield "tokens", [n.sum(), len(np.unique(word))]
         c, ones = n, []
         own, place = np.asarray(word, np.int64), PARENT[restaurant]
@@ -311,8 +325,8 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     base = 1 / (n_types + 1)
 
     def seated(data, bucket: int, totals, rounds: int):
-        n_words, word, restaurant, n, _ = data
-        s = Seating(n_words, word, restaurant, n, discount, alone)
+        _, word, restaurant, n, _ = data
+        s = Seating(word, restaurant, n, discount, alone)
         rng = np.random.default_rng(bucket)
         totals = totals or (s.customer_totals(), s.table_totals())
         for _ in range(rounds):
@@ -337,36 +351,46 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     sums = _sums(buckets, burn_in(start))
     totals = (sums["customers"], sums["tables"])
 
+    scale = STRENGTH + totals[0]
+    once = [coarse(np.array([1 - d]))[0] for d in discount]
+
     def sampled(bucket, data):
-        """Averages over the last sweeps of (c - d t) / (strength + customers), by level."""
+        """Averages of c - d t over the last sweeps, by level, as they are sent."""
         s, rng = seated(data, bucket, start, BURN_IN)
         means = [np.zeros(len(w)) for w in s.word]
         for _ in range(SAMPLES):
             s.sweep(totals, base, rng)
             for k in range(3):
-                means[k] += (s.c[k] - discount[k] * s.t[k]) / (STRENGTH + totals[0][s.place[k]]) / SAMPLES
-        return s, means
+                means[k] += (s.c[k] - discount[k] * s.t[k]) / SAMPLES
+        return s, [coarse(m) for m in means]
 
     def weights(bucket, data):
         s, means = sampled(bucket, data)
-        yield "mass", sum(np.bincount(s.place[k], means[k], minlength=RESTAURANTS) for k in range(3))
+        yield "mass", sum(np.bincount(s.place[k], fine(means[k]) / scale[s.place[k]], minlength=RESTAURANTS) for k in range(3))
 
     def answers(bucket, data):
         """For each block that asks, its words' counts and averages: (block, docs, data)."""
         s, means = sampled(bucket, data)
         n_words, word, _, n, asks = data
         counts = np.bincount(word, n, minlength=n_words).astype(np.int64)
-        root = np.zeros(n_words, np.float32)
+        root = np.zeros(n_words, np.uint16)
         root[s.word[2]] = means[2]
-        owner = np.concatenate([s.word[0], s.word[1]])
-        by = np.argsort(owner, kind="stable")
-        place = np.concatenate([s.place[0], s.place[1]])[by].astype(np.uint8)
-        mean = np.concatenate([means[0], means[1]])[by].astype(np.float32)
-        at = np.searchsorted(owner[by], np.arange(n_words + 1))
+        ends = [np.searchsorted(s.word[k], np.arange(n_words + 1)) for k in range(2)]
+        # most words are in most of their restaurants once, with the same value: those are marked and not sent
+        single = [means[k] == once[k] for k in range(2)]
+        place = s.place[0].astype(np.uint8) | (single[0].astype(np.uint8) << 7)
+
+        def ranges(k: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = ends[k][asked + 1] - ends[k][asked]
+            return size, np.repeat(ends[k][asked] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
         for block, own, asked in asks:
-            size = at[asked + 1] - at[asked]
-            take = np.repeat(at[asked] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            yield block, packed(own, counts[asked].astype(np.uint32), root[asked], size.astype(np.uint8), place[take], mean[take])
+            size, at = ranges(0, asked)
+            _, up = ranges(1, asked)
+            yield block, packed(
+                own, counts[asked].astype(np.uint32), root[asked], size.astype(np.uint8), place[at], means[0][at][~single[0][at]],
+                len(up), np.packbits(single[1][up]), means[1][up][~single[1][up]],
+            )
 
     mass = _sums(buckets, weights)["mass"]
     rest = np.clip(1 - mass, 1e-12, 1)
@@ -384,12 +408,23 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
                 ids, lengths, context, is_held = unpacked(data)
             else:
                 parts.append(unpacked(data))
-        own = np.concatenate([p[0] for p in parts])
-        counts, root = np.zeros(len(own), np.int64), np.zeros(len(own))
-        counts[own] = np.concatenate([p[1] for p in parts])
-        root[own] = np.concatenate([p[2] for p in parts])
-        keys = np.repeat(own, np.concatenate([p[3] for p in parts])).astype(np.int64) * 128 + np.concatenate([p[4] for p in parts])
-        means = np.concatenate([p[5] for p in parts]).astype(np.float64)
+        n_words = sum(len(p[0]) for p in parts)
+        counts, root = np.zeros(n_words, np.int64), np.zeros(n_words)
+        keys, means = [], []
+        for own, n, at_root, size, marked, values, n_up, single_up, values_up in parts:
+            own = np.cumsum(own, dtype=np.int64)
+            counts[own], seen = n, n > 0
+            root[own[seen]] = fine(at_root[seen]) / scale[ROOT]
+            word, place = np.repeat(own, size) * 128, marked & 127
+            # a word is in the parents of the restaurants that it is in, so these are not sent
+            above = np.unique(word + PARENT[place])
+            single = np.unpackbits(single_up, count=n_up).astype(bool)
+            for k, where, restaurant, alone_, sent in ((0, word + place, place, marked > 127, values), (1, above, above & 127, single, values_up)):
+                x = np.full(len(where), once[k], np.uint16)
+                x[~alone_] = sent
+                keys.append(where)
+                means.append(fine(x) / scale[restaurant])
+        keys, means = np.concatenate(keys), np.concatenate(means)
         by = np.argsort(keys)
         keys, means = keys[by], means[by]
 
