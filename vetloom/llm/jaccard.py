@@ -10,6 +10,10 @@ In a group the sets are stored in a trie with one edge for each run without bran
 overlaps with a shared beginning are found once. A probe goes down from the root with the overlap
 so far and leaves a subtree when even the best remaining length could not reach t.
 
+Groups that could hold a link are found on small rows before any set is moved: a group is split by
+size, as similar sets differ in size by t at most; shingles that the same sets share count as one;
+and two sets whose shingles fall into BINS bins cannot share more than the bins' lesser counts.
+
 Copies (equal sets) are one node. Links are needed only between nodes that are not yet connected,
 which keeps groups of near copies linear. First each set meets the group of its most shared
 shingle, in pieces, each piece with itself and the first one. Then only shingles whose sets
@@ -29,7 +33,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +41,9 @@ from vetloom.llm.components import components
 from vetloom.llm.encoding import batches_of
 from vetloom.session import materialise
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 PIECE = 120
+BINS, FULL = 64, 65535
 _STRETCH = 1 << 14
 
 # --- shingles -------------------------------------------------------------------------------
@@ -104,10 +108,16 @@ def identity(s: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
-def ordered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The set in the global order: the class of how frequent a shingle is in the high bits, then its hash."""
+def bins(s: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each bin, FULL for that many and more."""
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), FULL).astype("<u2").tobytes()
+
+
+def ordered(s: np.ndarray, classes: np.ndarray, first: int | None = None) -> np.ndarray:
+    """The set, or its first shingles, in the global order: the class of how frequent a shingle is in the high bits, then its hash."""
     high = classes[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-    return np.sort(high | (s >> np.uint64(6)))
+    keys = high | (s >> np.uint64(6))
+    return np.sort(keys if first is None or first >= len(keys) else np.partition(keys, first - 1)[:first])
 
 
 # --- the trie -------------------------------------------------------------------------------
@@ -190,22 +200,38 @@ class Forest:
 
 
 def group_links(num: int, den: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A forest of links of one group: among side 0, or also between side 0 and side 1."""
-        pdf = pdf.drop_duplicates(["node", "side"]).sort_values(["side", "node"], kind="stable")
-        sets = [np.frombuffer(b, np.uint64) for b in pdf["ordered"]]
-        nodes, sides, known = pdf["node"].tolist(), pdf["side"].tolist(), pdf["label"].tolist()
-        inside = bool(pdf["inside"].iloc[0])
-        forest, first = Forest(len(sets)), {}
-        for i, label in enumerate(known):
-            forest.join(i, first.setdefault(label, i))
-        trie, out = Trie(num, den), []
-        for i, s in enumerate(sets):
-            if inside or sides[i] == 1:
-                out += [(nodes[i], nodes[j]) for j in trie.similar(s) if forest.join(i, j)]
-            if sides[i] == 0:
+    """Of groups in the order of their keys (token, p, q), a forest of links: among side 0, or between sides 0 and 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != key:
+                    out += forest_of(held)
+                    key, held = row[:3], []
+                held.append(row[3:])
+            yield table(out)
+        yield table(forest_of(held))
+
+    def forest_of(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows = sorted({r[:1] + r[2:3]: r for r in rows}.values(), key=lambda r: (r[0], r[2]))
+        if len(rows) < 2:
+            return []
+        inside, forest, first, out = rows[0][1], Forest(len(rows)), {}, []
+        for i, r in enumerate(rows):
+            forest.join(i, first.setdefault(r[3], i))
+        trie = Trie(num, den)
+        for i, (side, _, node, _, data) in enumerate(rows):
+            s = np.frombuffer(data, np.uint64)
+            if inside or side == 1:
+                out += [(node, rows[j][2]) for j in trie.similar(s) if forest.join(i, j)]
+            if side == 0:
                 trie.add(s, i)
-        return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+        return out
+
+    def table(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -218,68 +244,130 @@ def _scan(docs: DataFrame, schema: str, run) -> DataFrame:
 
 
 def survey(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """Each row's doc_id, h (hash of the text), n and node, materialised; and the class of every counter."""
+    """Each row's doc_id, h (hash of the text), n, node and bins, materialised; and the class of every counter."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.uint32)
         kinds = None
         for b in batches:
             kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            texts, n, node = b.column(2).to_pylist(), [], []
+            texts, n, node, binned = b.column(2).to_pylist(), [], [], []
             for i, j in batches_of(texts, 1 << 21):
                 for s in shingle_sets(texts[i:j], width):
                     n.append(len(s))
                     node.append(identity(s))
+                    binned.append(bins(s))
                     np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *none], names=names)
+            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int32()), pa.array(binned, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=names)
         if kinds:
             parts = [zlib.compress(counts[k : k + _STRETCH].astype("<u4").tobytes(), 1) for k in range(0, COUNTERS, _STRETCH)]
             m = len(parts)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in kinds[:4]), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    names = ["doc_id", "h", "n", "node", "stretch", "counts"]
-    found = materialise(_scan(docs, f"doc_id {kind}, h long, n long, node long, stretch int, counts binary", run), "survey")
+    names = ["doc_id", "h", "n", "node", "stretch", "data"]
+    found = materialise(_scan(docs, f"doc_id {kind}, h long, n long, node long, stretch int, data binary", run), "survey")
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(_STRETCH, np.int64)
-        for c in table.column("counts").to_pylist():
+        for c in table.column("data").to_pylist():
             total += np.frombuffer(zlib.decompress(c), "<u4")
         return pa.table({"stretch": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     sums = found.where("stretch IS NOT NULL").groupBy("stretch").applyInArrow(add, "stretch int, counts binary")
-    total = np.zeros(COUNTERS)
+    total = np.zeros(COUNTERS, np.float32)
     for row in sums.collect():  # COUNTERS numbers, whatever the corpus
         total[row.stretch * _STRETCH : (row.stretch + 1) * _STRETCH] = np.frombuffer(row.counts, "<i8")
     classes = np.clip(np.floor(np.log2((total + 1) / (total.mean() + 1))) + 1, 0, 63).astype(np.uint8)
-    return found.where("stretch IS NULL").select("doc_id", "h", "n", "node"), classes
+    return found.where("stretch IS NULL").select("doc_id", "h", "n", "node", F.col("data").alias("bins")), classes
 
 
 def prefixes(docs: DataFrame, width: int, num: int, den: int, classes) -> DataFrame:
-    """token, node, doc_id, h: the shingles by which each set meets others; copies in one task are told once."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """token, node, n: the shingles by which each set meets others; copies in one task are told once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for b in batches:
             texts = b.column(2).to_pylist()
-            rows, tokens, nodes = [], [], []
+            tokens, nodes, sizes, times = [], [], [], []
             for i, j in batches_of(texts, 1 << 21):
-                for k, s in enumerate(shingle_sets(texts[i:j], width), i):
+                for s in shingle_sets(texts[i:j], width):
                     n = len(s)
                     if n * (den - num) < num or (node := identity(s)) in told:
                         continue  # too small for any other set to be similar
                     told.add(node)
-                    first = ordered(s, classes.value)[: n - -(-num * n // den) + 1]
-                    rows += [k] * len(first)
-                    tokens.append(first)
-                    nodes += [node] * len(first)
-            at = pa.array(rows, pa.int64())
+                    tokens.append(ordered(s, classes.value, n - -(-num * n // den) + 1))
+                    nodes.append(node)
+                    sizes.append(n)
+                    times.append(len(tokens[-1]))
             token = np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(nodes, pa.int64()), b.column(0).take(at), b.column(1).take(at)], names=["token", "node", "doc_id", "h"])
+            columns = [np.repeat(np.array(x, np.int64), np.array(times, np.int64)) for x in (nodes, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(token), *map(pa.array, columns)], names=["token", "node", "n"])
+
+    return _scan(docs, "token long, node long, n long", run)
+
+
+def may_link(num: int, den: int):
+    """Of groups in the order of their token, the members that by their bins could be similar to another of their group.
+
+    Rows are compared with those k places on, for k from 1 to the largest group's size, all groups at once.
+    """
 
-    return _scan(docs, f"token long, node long, doc_id {kind}, h long", run)
+    def kept(token: np.ndarray, node: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        keep = (m == FULL).any(axis=1)
+        n = m.sum(axis=1, dtype=np.int64)
+        at, k = np.arange(len(token)), 0
+        while True:
+            k += 1
+            at = at[at + k < len(token)]
+            at = at[token[at] == token[at + k]]
+            if not len(at):
+                break
+            for i in range(0, len(at), 1 << 16):
+                x = at[i : i + (1 << 16)]
+                most = np.minimum(m[x], m[x + k]).sum(axis=1, dtype=np.int64)
+                near = x[den * most >= num * (n[x] + n[x + k] - most)]
+                keep[near] = keep[near + k] = True
+        return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], names=["token", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            m = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, BINS)
+            if rest is not None:
+                token, node, m = (np.concatenate(x) for x in zip(rest, (token, node, m)))
+            last = int(np.searchsorted(token, token[-1]))  # the last group may go on; it has at most PIECE members
+            yield kept(token[:last], node[:last], m[:last])
+            rest = token[last:], node[last:], m[last:]
+        if rest is not None:
+            yield kept(*rest)
+
+    return run
+
+
+def groups_of(docs: DataFrame, rows: DataFrame, width: int, num: int, den: int, classes) -> tuple[DataFrame, DataFrame]:
+    """(token, node, members) of every group that may hold links, and (node, bins, doc_id, h) of every node."""
+    told = materialise(prefixes(docs, width, num, den, classes), "told")
+    shared = told.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    # a step is a little more than t, so that similar sets lie in the same step or in neighbouring ones
+    step = F.floor(F.log(F.col("n")) / (np.log(den / num) * (1 + 1e-9)))
+    met = told.join(shared, "token").distinct().withColumn("step", F.explode(F.array(step, step + 1)))
+    met = materialise(met.select(F.xxhash64("token", "step").alias("token"), "node"), "met")
+    lists = met.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    lists = lists.where("lo < hi").groupBy("members", "lo", "hi", "x").agg(F.min("token").alias("token")).select("token", "members")
+    at = met.join(lists, "token")
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("k"), F.first("bins").alias("bins"))
+    nodes = materialise(nodes.select("node", "bins", "k.doc_id", "k.h"), "nodes")
+    at = materialise(at, "at")
+    few = at.where(f"members <= {PIECE}").join(nodes.select("node", "bins"), "node")
+    few = few.select("token", "node", "bins").repartition("token").sortWithinPartitions("token").mapInArrow(may_link(num, den), "token long, node long")
+    at = materialise(few.union(at.where(f"members > {PIECE}").select("token", "node")), "kept")
+    sizes = at.groupBy("token").agg(F.count("*").alias("members"))
+    return materialise(at.join(sizes, "token"), "groups"), nodes
 
 
 def set_rows(docs: DataFrame, width: int, classes) -> DataFrame:
@@ -302,26 +390,19 @@ def _pieces(name: str) -> F.Column:
 
 def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links in groups(token, p, q, side, inside, node, label), each joined with its sets."""
-    full = groups.join(sets, "node")
-    return full.groupBy("token", "p", "q").applyInPandas(group_links(num, den), "a long, b long")
+    full = groups.join(sets, "node").select("token", "p", "q", "side", "inside", "node", "label", "ordered")
+    return full.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q").mapInArrow(group_links(num, den), "a long, b long")
 
 
-def set_components(docs: DataFrame, width: int, num: int, den: int, classes_array: np.ndarray) -> DataFrame:
+def set_components(docs: DataFrame, rows: DataFrame, width: int, num: int, den: int, classes_array: np.ndarray) -> DataFrame:
     """(node, component) of the nodes that are linked with others."""
-    spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(classes_array)
-    told = prefixes(docs, width, num, den, classes)
-    shared = told.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    met = materialise(told.join(shared, "token"), "met")
-    at = met.select("token", "node").distinct()
-    carriers = met.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
-    own = docs.withColumn("h_", F.xxhash64("text"))
-    own = own.join(carriers.select(F.col("doc_id").alias("d"), F.col("h").alias("h__")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h_") == F.col("h__")), "left_semi")
-    sets = materialise(set_rows(own.select("doc_id", "text"), width, classes), "sets")
+    classes = docs.sparkSession.sparkContext.broadcast(classes_array)
+    at, nodes = groups_of(docs, rows, width, num, den, classes)
+    carriers = nodes.join(at.select("node").distinct(), "node").select(F.col("doc_id").alias("d"), F.col("h").alias("h_"))
+    own = docs.join(carriers, docs["doc_id"].eqNullSafe(carriers["d"]) & (F.xxhash64(docs["text"]) == carriers["h_"]), "left_semi")
+    sets = materialise(set_rows(own, width, classes), "sets")
 
     # first, the group of each set's most shared token, each piece with itself and with the first
-    sizes = at.groupBy("token").agg(F.count("*").alias("members"))
-    at = materialise(at.join(sizes, "token"), "members")
     votes = at.groupBy("node").agg(F.max(F.struct("members", "token")).alias("v")).select(F.col("v.token").alias("token")).distinct()
     first = at.join(votes, "token").withColumn("pieces", _pieces("members")).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
     inner = first.select("token", F.col("piece").alias("p"), F.col("piece").alias("q"), F.lit(0).alias("side"), F.lit(True).alias("inside"), "node", F.col("node").alias("label"))
@@ -366,7 +447,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     """doc_id, h (hash of the text), n_shingles and component_id (least doc_id reachable) of every row of docs."""
     docs = docs.select("doc_id", "text")
     rows, classes = survey(docs, width)
-    labels = set_components(docs, width, num, den, classes)
+    labels = set_components(docs, rows, width, num, den, classes)
     known = rows.where("n > 0").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("doc_id", "h", "n", "component")
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = known.join(least, "component").select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id")
