@@ -43,7 +43,7 @@ from vetloom.session import materialise
 
 COUNTERS = 1 << 22
 PIECE = 120
-BINS, FULL = 64, 65535
+BINS, FULL = 256, 255
 _STRETCH = 1 << 14
 
 # --- shingles -------------------------------------------------------------------------------
@@ -110,7 +110,7 @@ def identity(s: np.ndarray) -> int:
 
 def bins(s: np.ndarray) -> bytes:
     """How many of a set's shingles fall into each bin, FULL for that many and more."""
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), FULL).astype("<u2").tobytes()
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), FULL).astype("u1").tobytes()
 
 
 def ordered(s: np.ndarray, classes: np.ndarray, first: int | None = None) -> np.ndarray:
@@ -337,7 +337,7 @@ def may_link(num: int, den: int):
             if not b.num_rows:
                 continue
             token, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            m = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, BINS)
+            m = np.frombuffer(b"".join(b.column(2).to_pylist()), "u1").reshape(-1, BINS)
             if rest is not None:
                 token, node, m = (np.concatenate(x) for x in zip(rest, (token, node, m)))
             last = int(np.searchsorted(token, token[-1]))  # the last group may go on; it has at most PIECE members
