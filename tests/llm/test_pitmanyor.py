@@ -58,3 +58,37 @@ def test_weights_add_up():
     root = s.chance(2, totals, 1 / 51)
     unknown = (M.STRENGTH + d[2] * totals[1][M.ROOT]) / (M.STRENGTH + totals[0][M.ROOT]) / 51
     assert abs(root.sum() + unknown - 1) < 0.05
+
+
+def test_sweep_seats_all_customers():
+    # from the greatest and the least seating, one sweep reaches the same law, however many customers
+    d, c = np.array([0.8, 0.6, 0.5]), np.repeat([2, 40, 250, 400, 1_000_000], 400)
+    rng = np.random.default_rng(1)
+    alone = [M.alone_table(x) for x in d]
+    means = []
+    for start in (1, c):
+        s = M.Seating(np.arange(len(c)), np.zeros(len(c), np.uint8), c, d, alone)
+        s.t[0] = np.ones(len(c), np.int64) * start
+        totals = (np.full(M.RESTAURANTS, 1e5), np.full(M.RESTAURANTS, 1e4))
+        s.chance = lambda *_: np.full(len(c), 1e-3)
+        s.sweep(totals, 1 / 2001, rng)
+        means.append(s.t[0].reshape(5, -1).mean(1))
+    a = (M.STRENGTH + d[0] * 1e4) * 1e-3
+    for k, size in enumerate([2, 40, 250]):
+        p = M.log_stirling(alone[0], d[0])[size, 1 : size + 1] + np.arange(1, size + 1) * np.log(a)
+        p = np.exp(p - p.max())
+        exact = (p * np.arange(1, size + 1)).sum() / p.sum()
+        assert all(abs(m[k] - exact) < 0.1 * exact for m in means)
+    assert all(abs(m[4] - (1 + a / d[0])) < 0.1 * a / d[0] for m in means)
+
+
+def test_many_customers_as_exact(monkeypatch):
+    monkeypatch.setattr(M, "MOST", 600)
+    for d in (0.3, 0.6, 0.8):
+        log_s = M.log_stirling(M.alone_table(d), d)
+        for a in (0.1, 5.0, 100.0):
+            t = np.arange(1, 601)
+            p = np.exp(log_s[600, 1:] + t * np.log(a) - (log_s[600, 1:] + t * np.log(a)).max())
+            exact = (p * t).sum() / p.sum()
+            mean, variance = M.limit_law(np.array([600.0]), np.array([a]), d)
+            assert abs(1 + mean[0] - exact) < 0.02 * exact + 0.3 and variance[0] <= mean[0]

@@ -7,9 +7,12 @@ customers are its occurrences in training; each table of a restaurant is a custo
 
 Sampling: given the restaurants' totals of tables, seatings of different words are independent, so
 words are dealt to tasks and sampled side by side, as arrays. The state of a word in a restaurant is
-its customers and tables. A step of the Gibbs sampler takes out one of its customers, who sat
-alone with probability S(c-1, t-1) / S(c, t) of the generalised Stirling numbers (above MOST
-customers by the share d t / c to which that tends), and seats it anew. Totals are brought up to
+its customers and tables. A sweep of the Gibbs sampler seats all customers of every cell anew, by one
+draw of the cell's tables t given its customers c: in proportion to S(c, t) a^t, with S the generalised
+Stirling numbers and a the weight of a new table. Up to MOST customers the draw is exact; above, it is
+one more than a binomial of the mean and variance to which that law tends (total variation from the
+exact law at 257 customers: 0.07 at most over discounts of 0.3 to 0.95 and a of 0.001 to 100, and less
+with more customers). The weight a is that before the sweep of the level, and totals are brought up to
 date between two passes. The predictive probabilities of the SAMPLES last sweeps are averaged, and
 each restaurant's weight of its parent is what its averages leave of 1, so the model adds up to 1.
 
@@ -52,8 +55,8 @@ START_PARENT, ROOT = FIRST_PARENT + PARENTS, FIRST_PARENT + PARENTS + 1
 RESTAURANTS = ROOT + 1
 PARENT = np.array([*(FIRST_PARENT + u // (ENDINGS // PARENTS) for u in range(ENDINGS)), START_PARENT])
 STRENGTH = 5.0
-BURN_IN, SAMPLES, STEPS = 4, 4, 3
-MOST = 128
+BURN_IN, SAMPLES = 4, 4
+MOST = 256
 #: The end of a text is a token; no word has a line feed.
 END = b"\n"
 _WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -219,11 +222,59 @@ def alone_table(d: float) -> np.ndarray:
     return out
 
 
+def log_stirling(alone: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) from the chances to sit alone, S(c-1, t-1) / S(c, t)."""
+    out = np.full(alone.shape, -np.inf)
+    out[1:, 1] = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, len(alone) - 1) - d))])
+    for t in range(2, len(alone)):
+        out[t:, t] = out[t - 1 : -1, t - 1] - np.log(alone[t:, t])
+    return out
+
+
+def limit_law(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the tables but one of many customers: a Poisson number of tables, given that they seat c.
+
+    Tables have j customers with weight x^j, where x = 1 - exp(-y) is such that c are expected.
+    """
+    lo, hi = np.zeros(len(c)), (np.log(c / np.minimum(a, c)) + 2) / (1 - d) + np.log1p(c)
+    for _ in range(60):
+        y = (lo + hi) / 2
+        few = np.log(a) + np.log(-np.expm1(-y)) + (1 - d) * y < np.log(c)
+        lo, hi = np.where(few, y, lo), np.where(few, hi, y)
+    left = np.exp(-y)
+    mean = -a * np.expm1(-d * y) / d
+    return mean, mean - c * left / (1 - d * (1 - left))
+
+
+def draw_tables(c: np.ndarray, a: np.ndarray, d: float, log_s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of cells of c customers, all seated anew, where a new table has weight a."""
+    out = np.ones(len(c), np.int64)
+    order = np.argsort(c, kind="stable")
+    sizes, at = np.unique(c[order], return_index=True)
+    for size, lo, hi in zip(sizes, at, [*at[1:], len(c)]):
+        if size > MOST:
+            break
+        if size > 1:
+            t = np.arange(1, size + 1)
+            for k in range(lo, hi, max(1, 1_000_000 // size)):
+                own = order[k : min(hi, k + max(1, 1_000_000 // size))]
+                p = np.log(a[own])[:, None] * t + log_s[size, 1 : size + 1]
+                p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), axis=1)
+                out[own] = 1 + (p < (rng.random(len(own)) * p[:, -1])[:, None]).sum(1)
+    many = np.nonzero(c > MOST)[0]
+    if len(many):
+        mean, variance = limit_law(c[many].astype(float), a[many], d)
+        p = np.clip(1 - variance / mean, 1e-9, 1)
+        n = np.maximum(1, np.rint(mean / p)).astype(np.int64)
+        out[many] = np.minimum(1 + rng.binomial(n, np.minimum(mean / n, 1)), c[many])
+    return out
+
+
 class Seating:
     """The restaurants of one bucket's words: customers and tables of each word in each."""
 
     def __init__(self, word: np.ndarray, restaurant: np.ndarray, n: np.ndarray, discount: np.ndarray, alone: list[np.ndarray]):
-        self.discount, self.alone = discount, alone
+        self.discount, self.log_s = discount, [log_stirling(x, d) for x, d in zip(alone, discount)]
         own = np.asarray(word, np.int64)
         parent_key, up = np.unique(own * 128 + PARENT[restaurant], return_inverse=True)
         root_key, up2 = np.unique(parent_key >> 7, return_inverse=True)
@@ -247,24 +298,12 @@ class Seating:
     def sweep(self, totals: tuple[np.ndarray, np.ndarray], base: float, rng: np.random.Generator) -> None:
         _, tables = totals
         for level in range(3):
-            d, t = self.discount[level], self.t[level]
+            d = self.discount[level]
             if level:
-                c = np.bincount(self.up[level - 1], self.t[level - 1], minlength=len(t)).astype(np.int64)
-                t = np.clip(np.rint(t * (c / np.maximum(self.c[level], 1))), 1, c).astype(np.int64)
-                self.c[level] = c
+                self.c[level] = np.bincount(self.up[level - 1], self.t[level - 1], minlength=len(self.word[level])).astype(np.int64)
             above = base if level == 2 else self.chance(level + 1, totals, base)[self.up[level]]
-            c, at = self.c[level], np.nonzero(self.c[level] > 1)[0]
-            draw = ((STRENGTH + d * tables[self.place[level]]) * above)[at]
-            c, t_at = c[at], t[at]
-            small = c <= MOST
-            for _ in range(STEPS):
-                lone = np.where(t_at > 1, d * t_at / c, 0.0)
-                lone[small] = self.alone[level][c[small], t_at[small]]
-                t_at = t_at - (rng.random(len(at)) < lone)
-                new = draw / (draw + c - 1 - d * t_at)
-                t_at = t_at + ((rng.random(len(at)) < new) | (t_at == 0))
-            t[at] = np.minimum(t_at, c)
-            self.t[level] = t
+            draw = (STRENGTH + d * tables[self.place[level]]) * above
+            self.t[level] = draw_tables(self.c[level], draw, d, self.log_s[level], rng)
 
     def table_totals(self) -> np.ndarray:
         return sum(np.bincount(self.place[k], self.t[k], minlength=RESTAURANTS) for k in range(3))
