@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -92,3 +93,22 @@ def test_many_customers_as_exact(monkeypatch):
             exact = (p * t).sum() / p.sum()
             mean, variance = M.limit_law(np.array([600.0]), np.array([a]), d)
             assert abs(1 + mean[0] - exact) < 0.02 * exact + 0.3 and variance[0] <= mean[0]
+
+
+def test_words_before_are_told_apart(spark):
+    # both words before end alike, so only the words themselves tell what follows
+    rows = [(i, t, False) for i, t in enumerate(["north m", "south n"] * 60)] + [(900, "north m", True), (901, "north n", True), (902, "south m", True), (903, "south n", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in M.score(docs, F.col("held")).collect()}
+    assert M.ending(b"north") == M.ending(b"south")
+    assert got[900] > got[901] + 0.5 and got[903] > got[902] + 0.5
+
+
+def test_texts_add_up(spark, monkeypatch):
+    # two known words and one unknown; almost all of the probability is in texts of four words at most
+    monkeypatch.setattr(M, "BLOCK_TOKENS", 100)
+    rows = [(None, t, False) for t in ["a"] * 300 + ["b"] * 200 + ["a b"] * 40 + ["b b a"] * 5 + [""] * 20]
+    texts = [" ".join(t) for k in range(5) for t in itertools.product(["a", "b", "?"], repeat=k)]
+    rows += [(i, t, True) for i, t in enumerate(texts)]
+    got = M.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), F.col("held")).where("held_out").collect()
+    assert len(got) == len(texts) and abs(sum(10**r.score for r in got) - 1) < 0.01

@@ -1,9 +1,10 @@
 """A hierarchical Pitman-Yor language model: Chinese-restaurant seating by Gibbs sampling.
 
-Restaurants: one for each class of the word before (its last two bytes, in ENDINGS classes, and
-the start of a text), whose parent is the restaurant of the last byte alone (PARENTS classes),
-whose parent is the root, whose base is uniform over the V known words and one unknown. A word's
-customers are its occurrences in training; each table of a restaurant is a customer of its parent.
+Restaurants: one for each word before, however many there are, and one for the start of a text.
+Its parent is that of the word's class (its last two bytes, in ENDINGS classes, and the start of a
+text), whose parent is the restaurant of the last byte alone (PARENTS classes), whose parent is the
+root, whose base is uniform over the V known words and one unknown. A word's customers are its
+occurrences in training; each table of a restaurant is a customer of its parent.
 
 Sampling: given the restaurants' totals of tables, seatings of different words are independent, so
 words are dealt to tasks and sampled side by side, as arrays. The state of a word in a restaurant is
@@ -17,9 +18,13 @@ date between two passes. The predictive probabilities of the SAMPLES last sweeps
 each restaurant's weight of its parent is what its averages leave of 1, so the model adds up to 1.
 
 Data flow: texts are cut into blocks of about BLOCK_TOKENS tokens, kept as numbers of the block's own
-words. A block's words go to the buckets of their hashes, where their counts meet; each bucket is
-sampled as a whole; and each block gets back the parameters of its own words and no others. What
-is moved grows with the distinct words of the blocks. Only totals, of fixed size, reach the driver.
+words. A block's pairs of a word and the word before go to the buckets of the hashes of the first,
+where their counts meet; each bucket is sampled as a whole; and each block gets back the parameters
+of its own words and pairs and no others. The tables of a word's restaurant lie in many buckets: they
+are summed in the bucket of that word, and the sums sent to the buckets that asked, between passes.
+What is moved grows with the distinct pairs of the blocks. Only totals of the classes, of fixed size,
+reach the driver. A word before is known by 64 bits of its hash (of ten million words, any two are
+alike with a chance of 3 in a million).
 
 Defined results: tokens are the words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased and one
 end token, so a null or empty text has one token; rows that repeat are each counted and scored; a
@@ -30,9 +35,9 @@ empty table.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -49,7 +54,7 @@ BLOCK_TOKENS = 1_000_000
 #: Documents for each bucket of words.
 DOCS_PER_BUCKET = 4000
 PARENTS, ENDINGS = 16, 64
-#: Restaurants by number: ENDINGS and the start of a text, then their PARENTS and that of the start, then the root.
+#: Restaurants of classes by number: ENDINGS and the start of a text, then their PARENTS and that of the start, then the root.
 START, FIRST_PARENT = ENDINGS, ENDINGS + 1
 START_PARENT, ROOT = FIRST_PARENT + PARENTS, FIRST_PARENT + PARENTS + 1
 RESTAURANTS = ROOT + 1
@@ -89,20 +94,29 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    """The restaurant in which the word after this one sits."""
+    """The class of this word as a word before another."""
     last, before = word[-1], word[-2] if len(word) > 1 else 0
     return (last * 0x9E37 >> 3) % PARENTS * (ENDINGS // PARENTS) + (before * 0x79B9 >> 4) % (ENDINGS // PARENTS)
 
 
-def bucket_of(word: bytes, buckets: int) -> int:
-    return zlib.crc32(word) % buckets
+def hash_of(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+def small(p: np.ndarray) -> np.ndarray:
+    """Probabilities as logarithms in 16 bits, to about one part in 3000."""
+    return np.clip(np.rint((np.log2(np.maximum(p, 2.0**-64)) + 64) * 1023), 0, 65535).astype(np.uint16)
+
+
+def unsmall(x: np.ndarray) -> np.ndarray:
+    return 2.0 ** (x / 1023.0 - 64)
 
 
 # --- blocks ---------------------------------------------------------------------------------
 
 
 class Block:
-    """Texts as numbers of the block's own words, and how often each word follows each ending in training."""
+    """Texts as numbers of the block's own words, and how often each word follows each other in training."""
 
     def __init__(self):
         self.number = defaultdict(count().__next__)
@@ -120,37 +134,39 @@ class Block:
         self.held.append(held)
         self.tokens += len(own)
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        after = np.fromiter(map(ending, self.number), np.uint8, len(self.number))
-        out = np.concatenate([[START], after[ids[:-1]]]).astype(np.uint8)
-        out[first] = START
-        return out
-
     def rows(self, block: int, buckets: int) -> Iterator[tuple]:
         """The texts' row, then a row for each bucket with words: (block, bucket, documents, data)."""
         ids = np.concatenate(self.ids)
         lengths = np.array([len(x) for x in self.ids])
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        context = self.contexts(ids, first)
-        yield block, None, self.docs, packed(ids, lengths, context, np.array(self.held))
-        train = np.repeat(~np.array(self.held), lengths)
-        keys, n = np.unique(ids[train].astype(np.int64) * 128 + context[train], return_counts=True)
+        yield block, None, self.docs, packed(ids, lengths, np.array(self.held))
+        keys, where = np.unique(pairs(ids), return_inverse=True)
+        n = np.bincount(where, np.repeat(~np.array(self.held), lengths), len(keys)).astype(np.uint32)
         words = list(self.number)
-        bucket = np.fromiter((bucket_of(w, buckets) for w in words), np.int64, len(words))
+        hashes = np.fromiter(map(hash_of, words), np.uint64, len(words))
+        kind = np.fromiter(map(ending, words), np.uint8, len(words))
+        kind[self.number[END]] = START
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         at = np.searchsorted(bucket[order], np.arange(buckets + 1))
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        by = np.argsort(place[keys >> 7], kind="stable")
+        owner = bucket[keys >> 32]
+        by = np.argsort(owner, kind="stable")
         keys, n = keys[by], n[by]
-        owner = place[keys >> 7]
+        pair_at = np.searchsorted(owner[by], np.arange(buckets + 1))
         for b in range(buckets):
             lo, hi = at[b], at[b + 1]
             if lo < hi:
-                i, j = np.searchsorted(owner, [lo, hi])
+                cells = slice(pair_at[b], pair_at[b + 1])
                 own = order[lo:hi]
-                size = np.bincount(owner[i:j] - lo, minlength=hi - lo).astype(np.uint8)
-                yield block, b, None, packed(b" ".join(words[k] for k in own), steps(own), size, (keys[i:j] & 127).astype(np.uint8), n[i:j].astype(np.uint32))
+                size = np.bincount(place[keys[cells] >> 32] - lo, minlength=hi - lo).astype(np.uint32)
+                before, which = np.unique(keys[cells] & 0xFFFFFFFF, return_inverse=True)
+                yield block, b, None, packed(b" ".join(words[k] for k in own), steps(own), size, hashes[before], kind[before], which.astype(np.uint32), n[cells])
+
+
+def pairs(ids: np.ndarray) -> np.ndarray:
+    """Each token's word and the one before, as one number; before a text's first is the END of another."""
+    return ids.astype(np.int64) << 32 | np.concatenate([ids[-1:], ids[:-1]]).astype(np.int64)
 
 
 def blocks(docs: DataFrame, held: Column, buckets: int) -> DataFrame:
@@ -186,24 +202,47 @@ def blocks(docs: DataFrame, held: Column, buckets: int) -> DataFrame:
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """One row for each bucket: its words' counts by restaurant, and which block asks for which word."""
+    """One row for each bucket: its words' counts by the word before, and which block asks for which word and pair."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         number = defaultdict(count().__next__)
-        asks, keys, sums = [], [], []
+        asks, words_at, hashes, kinds, ns = [], [], [], [], []
         for block, data in zip(table.column("block").to_pylist(), table.column("data").to_pylist()):
-            words, own, size, restaurant, n = unpacked(data)
+            words, own, size, before, kind, which, n = unpacked(data)
             at = np.fromiter(map(number.__getitem__, words.split(b" ")), np.int64, len(size))
             asks.append((block, own, at.astype(np.int32)))
-            keys.append(np.repeat(at, size) * 128 + restaurant)
-            sums.append(n)
-        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(where, np.concatenate(sums), minlength=len(keys)).astype(np.uint32)
-        data = packed(len(number), (keys >> 7).astype(np.int32), (keys & 127).astype(np.uint8), n, asks)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
+            words_at.append(np.repeat(at, size))
+            hashes.append(before[which])
+            kinds.append(kind[which])
+            ns.append(n)
+        ends = np.cumsum([len(x) for x in ns])[:-1]
+        n = np.concatenate(ns)
+        contexts, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        kind = np.concatenate(kinds)[first]
+        keys, where = np.unique(np.concatenate(words_at) << 32 | which, return_inverse=True)
+        n = np.bincount(where, n, minlength=len(keys)).astype(np.uint32)
+        # pairs that are in no training text have no customers, and come after those that have
+        seen = n > 0
+        place = np.where(seen, np.cumsum(seen) - 1, np.int64(seen.sum())).astype(np.int32)
+        unseen = np.nonzero(~seen)[0]
+        loose = np.full(len(keys), -1, np.int32)
+        loose[unseen] = np.arange(len(unseen))
+        asks = [(*a, np.where(seen[w], place[w], len(n) - len(unseen) + loose[w]).astype(np.int32)) for a, w in zip(asks, np.split(where, ends))]
+        order = np.concatenate([np.nonzero(seen)[0], unseen])
+        own_hashes = np.fromiter(map(hash_of, number), np.uint64, len(number))
+        data = packed(own_hashes, contexts, kind, (keys >> 32).astype(np.int32)[order], (keys & 0xFFFFFFFF).astype(np.int32)[order], n[seen], asks)
+        return row_table([(key[0].as_py(), "cells", None, data)])
 
     rows = found.where("bucket IS NOT NULL").select("bucket", "block", "data")
-    return materialise(rows.groupBy("bucket").applyInArrow(run, "bucket long, data binary"), "buckets")
+    return materialise(rows.groupBy("bucket").applyInArrow(run, ROW), "buckets")
+
+
+ROW = "bucket long, kind string, part long, data binary"
+
+
+def row_table(rows: list[tuple]) -> pa.Table:
+    kinds = (("bucket", pa.int64()), ("kind", pa.string()), ("part", pa.int64()), ("data", pa.binary()))
+    return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(kinds)})
 
 
 def alone_table(d: float) -> np.ndarray:
@@ -312,131 +351,173 @@ class Seating:
         return sum(np.bincount(self.place[k], self.c[k], minlength=RESTAURANTS) for k in range(3))
 
 
-def _bucket_rows(buckets: DataFrame, run, schema: str) -> DataFrame:
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+class WordSeating:
+    """The restaurants of the words before, for one bucket's words, and above them those of the classes."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = list(run(bucket, unpacked(data)))
-                if rows:
-                    columns = [pa.array(list(c)) for c in zip(*rows)]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+    def __init__(self, word, context, kind, n, discount: np.ndarray, alone: list[np.ndarray], t=None, classes=None):
+        self.d, self.log_s = discount[0], log_stirling(alone[0], discount[0])
+        self.context, self.n = context, n.astype(np.int64)
+        self.t = np.clip(np.rint(self.n**self.d), 1, self.n).astype(np.int64) if t is None else t.astype(np.int64)
+        self.keys, self.up = np.unique(np.asarray(word, np.int64) * 128 + kind[context], return_inverse=True)
+        self.classes = Seating(self.keys >> 7, self.keys & 127, self.customers(), discount[1:], alone[1:])
+        if classes is not None:
+            self.classes.c, self.classes.t = ([x.astype(np.int64) for x in xs] for xs in classes)
 
-    return buckets.select("bucket", "data").mapInArrow(each, schema)
+    def customers(self) -> np.ndarray:
+        return np.bincount(self.up, self.t, minlength=len(self.keys)).astype(np.int64)
 
+    def sweep(self, tables: np.ndarray, totals: tuple[np.ndarray, np.ndarray], base: float, rng: np.random.Generator) -> None:
+        """tables are the totals of the words' restaurants, totals those of the classes'."""
+        above = self.classes.chance(0, totals, base)[self.up]
+        self.t = draw_tables(self.n, (STRENGTH + self.d * tables[self.context]) * above, self.d, self.log_s, rng)
+        self.classes.c[0] = self.customers()
+        self.classes.sweep(totals, base, rng)
 
-def _sums(buckets: DataFrame, run) -> dict[str, np.ndarray]:
-    """Totals of fixed size over all buckets; run gives (name, array) of each."""
-    rows = _bucket_rows(buckets, lambda k, data: ((name, i, float(x)) for name, a in run(k, data) for i, x in enumerate(a)), "name string, i long, x double")
-    out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(RESTAURANTS))
-    for row in rows.groupBy("name", "i").agg(F.sum("x").alias("x")).collect():
-        out[row.name][row.i] = row.x
-    return out
+    def state(self) -> tuple:
+        return self.t.astype(np.uint32), ([x.astype(np.uint32) for x in self.classes.c], [x.astype(np.uint32) for x in self.classes.t])
 
 
 def discounts(seen: np.ndarray) -> np.ndarray:
     """A level's discount from its counts of one and of two."""
-    return np.array([min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5 for a, b in seen.reshape(3, 2)])
+    return np.array([min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5 for a, b in seen.reshape(-1, 2)])
+
+
+def by_bucket(rows: DataFrame, run, name: str) -> DataFrame:
+    """run(bucket, {kind: [(part, arrays)]}) gives rows (bucket, kind, part, arrays)."""
+
+    def each(key: tuple, table: pa.Table) -> pa.Table:
+        got = defaultdict(list)
+        for kind, part, data in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data"))):
+            got[kind].append((part, unpacked(data)))
+        return row_table([(b, kind, part, packed(*arrays)) for b, kind, part, arrays in run(key[0].as_py(), got)])
+
+    return materialise(rows.groupBy("bucket").applyInArrow(each, ROW), name)
+
+
+def sums_of(rows: DataFrame, kind: str) -> list[np.ndarray] | None:
+    """Arrays of fixed size, summed over all buckets."""
+    found = [unpacked(r.data) for r in rows.where(F.col("kind") == kind).select("data").collect()]
+    return [sum(x) for x in zip(*found)] if found else None
 
 
 def score(docs: DataFrame, held: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows that are held out teach nothing."""
     n_docs = docs.count()
-    found = blocks(docs, held, max(8, -(-n_docs // DOCS_PER_BUCKET)))
+    n_buckets = max(8, -(-n_docs // DOCS_PER_BUCKET))
+    found = blocks(docs, held, n_buckets)
     buckets = merged(found)
 
-    def first(_, data):
-        _, word, restaurant, n, _ = data
-        yield "tokens", [n.sum(), len(np.unique(word))]
-        c, ones = n, []
-        own, place = np.asarray(word, np.int64), PARENT[restaurant]
-        keys, c1 = np.unique(own * 128 + place, return_counts=True)
-        _, c0 = np.unique(keys >> 7, return_counts=True)
-        for x in (c, c1, c0):
-            ones += [(x == 1).sum(), (x == 2).sum()]
-        yield "ones", ones
-
-    sums = _sums(buckets, first)
-    n_train, n_types = int(sums["tokens"][0]), int(sums["tokens"][1])
-    discount = discounts(sums["ones"][:6])
+    def first(_, got):
+        _, _, kind, word, context, n, _ = got["cells"][0][1]
+        word, context = word[: len(n)].astype(np.int64), context[: len(n)]
+        keys, c0 = np.unique(word * 128 + kind[context], return_counts=True)
+        keys, c1 = np.unique((keys >> 7) * 128 + PARENT[keys & 127], return_counts=True)
+        _, c2 = np.unique(keys >> 7, return_counts=True)
+        ones = np.array([(x == k).sum() for x in (n, c0, c1, c2) for k in (1, 2)], float)
+        yield None, "totals", None, (np.array([n.sum(dtype=np.int64), len(np.unique(word))], np.int64), ones)
+
+    counted, ones = sums_of(by_bucket(buckets, first, "counts"), "totals") or (np.zeros(2, np.int64), np.zeros(8))
+    n_train, n_types = int(counted[0]), int(counted[1])
+    discount = discounts(ones)
     alone = [alone_table(d) for d in discount]
     base = 1 / (n_types + 1)
 
-    def seated(data, bucket: int, totals, rounds: int):
-        _, word, restaurant, n, _ = data
-        s = Seating(word, restaurant, n, discount, alone)
-        rng = np.random.default_rng(bucket)
-        totals = totals or (s.customer_totals(), s.table_totals())
-        for _ in range(rounds):
-            s.sweep(totals, base, rng)
-        return s, rng
-
-    def begin(bucket, data):
-        s, _ = seated(data, bucket, None, 0)
-        yield "customers", s.customer_totals()
-        yield "tables", s.table_totals()
-
-    def burn_in(totals):
-        def run(bucket, data):
-            s, _ = seated(data, bucket, totals, BURN_IN)
-            yield "customers", s.customer_totals()
-            yield "tables", s.table_totals()
+    def by_home(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts in the order of the buckets of their words, and where each bucket's begin."""
+        home = (contexts % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        return order, np.searchsorted(home[order], np.arange(n_buckets + 1))
+
+    def shares(bucket: int, contexts: np.ndarray, tables: np.ndarray) -> Iterator[tuple]:
+        """This bucket's tables of each word's restaurant, for the bucket of that word."""
+        order, at = by_home(contexts)
+        for b in range(n_buckets):
+            own = order[at[b] : at[b + 1]]
+            if len(own):
+                yield b, "share", bucket, (contexts[own], tables[own].astype(np.float32))
+
+    def relay(bucket, got):
+        parts, arrays = zip(*got["share"])
+        _, where = np.unique(np.concatenate([a[0] for a in arrays]), return_inverse=True)
+        total = np.bincount(where, np.concatenate([a[1] for a in arrays]))[where].astype(np.float32)
+        for part, own in zip(parts, np.split(total, np.cumsum([len(a[0]) for a in arrays])[:-1])):
+            yield part, "tables", bucket, (own,)
+
+    def run_pass(rounds: int, totals, last: bool):
+        def run(bucket, got):
+            _, contexts, kind, word, context, n, _ = got["cells"][0][1]
+            word, context = word[: len(n)], context[: len(n)]
+            state = got["state"][0][1] if got["state"] else (None, None)
+            s = WordSeating(word, context, kind, n, discount, alone, *state)
+            tables = np.zeros(len(contexts))
+            order, at = by_home(contexts)
+            for part, (own,) in got["tables"]:
+                tables[order[at[part] : at[part + 1]]] = own
+            rng = np.random.default_rng((bucket, int(last)))
+            means, seats = [np.zeros(len(n)), *(np.zeros(len(w)) for w in s.classes.word)], [np.zeros(RESTAURANTS), np.zeros(RESTAURANTS)]
+            own_tables = np.zeros(len(contexts))
+            for _ in range(rounds):
+                s.sweep(tables, totals, base, rng)
+                if last:
+                    means[0] += (s.n - s.d * s.t) / rounds
+                    own_tables += np.bincount(context, s.t, len(contexts)) / rounds
+                    seats[0] += s.classes.customer_totals() / rounds
+                    seats[1] += s.classes.table_totals() / rounds
+                    for k in range(3):
+                        means[k + 1] += (s.classes.c[k] - discount[k + 1] * s.classes.t[k]) / rounds
+            if not last:
+                own_tables = np.bincount(context, s.t, len(contexts))
+                seats = [s.classes.customer_totals().astype(float), s.classes.table_totals().astype(float)]
+            yield bucket, "state", None, (coarse(means[0]), *means[1:]) if last else s.state()
+            yield bucket, "totals", None, seats
+            yield from shares(bucket, contexts, own_tables)
 
         return run
 
-    sums = _sums(buckets, begin)
-    start = (sums["customers"], sums["tables"])
-    sums = _sums(buckets, burn_in(start))
-    totals = (sums["customers"], sums["tables"])
+    def kept(rows: DataFrame, *kinds: str) -> DataFrame:
+        return rows.where(F.col("kind").isin(*kinds))
+
+    rows, none = buckets, [np.zeros(RESTAURANTS), np.zeros(RESTAURANTS)]
+    totals = none
+    for name, rounds, last in (("begin", 0, False), ("burn_in", BURN_IN, False), ("sampled", SAMPLES, True)):
+        after = by_bucket(rows, run_pass(rounds, tuple(totals), last), name)
+        totals = sums_of(after, "totals") or none
+        if not last:
+            rows = buckets.union(kept(after, "state")).union(by_bucket(kept(after, "share"), relay, "tables"))
 
     scale = STRENGTH + totals[0]
-    once = [coarse(np.array([1 - d]))[0] for d in discount]
-
-    def sampled(bucket, data):
-        """Averages of c - d t over the last sweeps, by level, as they are sent."""
-        s, rng = seated(data, bucket, start, BURN_IN)
-        means = [np.zeros(len(w)) for w in s.word]
-        for _ in range(SAMPLES):
-            s.sweep(totals, base, rng)
-            for k in range(3):
-                means[k] += (s.c[k] - discount[k] * s.t[k]) / SAMPLES
-        return s, [coarse(m) for m in means]
-
-    def weights(bucket, data):
-        s, means = sampled(bucket, data)
-        yield "mass", sum(np.bincount(s.place[k], fine(means[k]) / scale[s.place[k]], minlength=RESTAURANTS) for k in range(3))
-
-    def answers(bucket, data):
-        """For each block that asks, its words' counts and averages: (block, docs, data)."""
-        s, means = sampled(bucket, data)
-        n_words, word, _, n, asks = data
-        counts = np.bincount(word, n, minlength=n_words).astype(np.int64)
-        root = np.zeros(n_words, np.uint16)
-        root[s.word[2]] = means[2]
-        ends = [np.searchsorted(s.word[k], np.arange(n_words + 1)) for k in range(2)]
-        # most words are in most of their restaurants once, with the same value: those are marked and not sent
-        single = [means[k] == once[k] for k in range(2)]
-        place = s.place[0].astype(np.uint8) | (single[0].astype(np.uint8) << 7)
-
-        def ranges(k: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            size = ends[k][asked + 1] - ends[k][asked]
-            return size, np.repeat(ends[k][asked] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-
-        for block, own, asked in asks:
-            size, at = ranges(0, asked)
-            _, up = ranges(1, asked)
-            yield block, packed(
-                own, counts[asked].astype(np.uint32), root[asked], size.astype(np.uint8), place[at], means[0][at][~single[0][at]],
-                len(up), np.packbits(single[1][up]), means[1][up][~single[1][up]],
-            )
-
-    mass = _sums(buckets, weights)["mass"]
-    rest = np.clip(1 - mass, 1e-12, 1)
-    replies = _bucket_rows(buckets, answers, "block long, data binary")
+    level = np.array([*[1] * FIRST_PARENT, *[2] * (PARENTS + 1), 3])
+    rest = (STRENGTH + discount[level] * totals[1]) / scale
+
+    def answers(bucket, got):
+        """For each block that asks, its words' counts and tables, and its pairs' averages and what is above them."""
+        hashes, _, kind, word, context, n, asks = got["cells"][0][1]
+        mean, *means = got["state"][0][1]
+        counts = np.bincount(word[: len(n)], n, minlength=len(hashes)).astype(np.uint32)
+        order = np.argsort(hashes)
+        tables = np.zeros(len(hashes))
+        for _, (own, t) in got["share"]:
+            np.add.at(tables, order[np.searchsorted(hashes[order], own)], t)
+        s = WordSeating(word[: len(n)], context[: len(n)], kind, n, discount, alone).classes
+
+        def at(k: int, keys: np.ndarray) -> np.ndarray:
+            own = s.word[k] * 128 + s.place[k]
+            if not len(own):
+                return np.zeros(len(keys))
+            i = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            return np.where(own[i] == keys, means[k][i] / scale[s.place[k][i]], 0.0)
+
+        wide, near = word.astype(np.int64) * 128, kind[context].astype(np.int64)
+        far = PARENT[near]
+        above = small(at(0, wide + near) + rest[near] * (at(1, wide + far) + rest[far] * (at(2, wide + ROOT) + rest[ROOT] * base)))
+        mean = np.concatenate([np.maximum(mean, 1), np.zeros(len(word) - len(n), np.uint16)])
+        for block, own, asked, cells in asks:
+            yield block, "reply", None, (own, counts[asked], tables[asked].astype(np.float32), mean[cells], above[cells])
+
+    replies = by_bucket(buckets.union(kept(after, "state", "share")), answers, "replies")
     texts = found.where("bucket IS NULL").select("block", "docs", "data")
     kind = dict(docs.dtypes)["doc_id"]
-    both = texts.unionByName(replies.withColumn("docs", F.lit(None).cast(f"array<{kind}>")))
+    both = texts.unionByName(replies.select(F.col("bucket").alias("block"), F.lit(None).cast(f"array<{kind}>").alias("docs"), "data"))
     width = float(n_train + 0.5 * (n_types + 1))
 
     def evaluate(key: tuple, table: pa.Table) -> pa.Table:
@@ -444,44 +525,30 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
         parts = []
         for is_text, data in zip(names.is_valid().to_pylist(), table.column("data").to_pylist()):
             if is_text:
-                ids, lengths, context, is_held = unpacked(data)
+                ids, lengths, is_held = unpacked(data)
             else:
                 parts.append(unpacked(data))
         n_words = sum(len(p[0]) for p in parts)
-        counts, root = np.zeros(n_words, np.int64), np.zeros(n_words)
-        keys, means = [], []
-        for own, n, at_root, size, marked, values, n_up, single_up, values_up in parts:
+        counts, tables, part = np.zeros(n_words, np.int64), np.zeros(n_words), np.zeros(n_words, np.int32)
+        for k, (own, n, t, _, _) in enumerate(parts):
             own = np.cumsum(own, dtype=np.int64)
-            counts[own], seen = n, n > 0
-            root[own[seen]] = fine(at_root[seen]) / scale[ROOT]
-            word, place = np.repeat(own, size) * 128, marked & 127
-            # a word is in the parents of the restaurants that it is in, so these are not sent
-            above = np.unique(word + PARENT[place])
-            single = np.unpackbits(single_up, count=n_up).astype(bool)
-            for k, where, restaurant, alone_, sent in ((0, word + place, place, marked > 127, values), (1, above, above & 127, single, values_up)):
-                x = np.full(len(where), once[k], np.uint16)
-                x[~alone_] = sent
-                keys.append(where)
-                means.append(fine(x) / scale[restaurant])
-        keys, means = np.concatenate(keys), np.concatenate(means)
-        by = np.argsort(keys)
-        keys, means = keys[by], means[by]
-
-        def mean(wanted: np.ndarray) -> np.ndarray:
-            if not len(keys):
-                return np.zeros(len(wanted))
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[at] == wanted, means[at], 0.0)
-
-        wide, above = ids.astype(np.int64) * 128, PARENT[context]
-        chance = mean(wide + context) + rest[context] * (mean(wide + above) + rest[above] * (root[ids] + rest[ROOT] * base))
+            counts[own], tables[own], part[own] = n, t, k
+        keys, where = np.unique(pairs(ids), return_inverse=True)
+        # a part's pairs are in the order of their numbers
+        by = np.argsort(part[keys >> 32], kind="stable")
+        mean, above = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+        before = keys[by] & 0xFFFFFFFF
+        # a word of training has as many customers in its restaurant as it has occurrences
+        own = np.where(mean > 0, fine(mean), 0.0) + (STRENGTH + discount[0] * tables[before]) * unsmall(above)
+        chance = np.empty(len(keys))
+        chance[by] = own / (STRENGTH + counts[before])
         at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         sums = lambda x: np.add.reduceat(x, at)
         flat = names.drop_null().combine_chunks().flatten()
         return pa.table({
             "doc_id": flat, "held_out": pa.array(is_held), "n_tokens": pa.array(lengths.astype(np.int64)),
             "n_known": pa.array(sums((counts[ids] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(lengths), n_train)),
-            "base_score": pa.array(sums(np.log10((counts[ids] + 0.5) / width))), "score": pa.array(sums(np.log10(chance))),
+            "base_score": pa.array(sums(np.log10((counts[ids] + 0.5) / width))), "score": pa.array(sums(np.log10(chance)[where])),
         })
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
