@@ -72,3 +72,20 @@ def test_template_rejected(spark):
     got = {r.page_id: r for r in U.judge(df).collect()}
     assert got[0].template == "/*/p" or got[0].template.startswith("/~") or got[0].template.startswith("/*")
     assert got[60].rule is None and len(got) == len(urls)
+
+
+def test_unlabelled_templates_back_off(spark):
+    rules = (U.Rule("block", "x.com", "/a/bad/"), U.Rule("allow", "x.com", "/b/"), U.Rule("block", "y.com", "/de/"))
+    urls = [f"http://x.com/a/bad/{i}" for i in range(5)] + [f"http://x.com/b/{i}" for i in range(10)]
+    urls += [f"http://y.com/de/{i}" for i in range(8)]
+    # below the blocked branch, below the host, with a tail of slashes, on a blocked host, on a host without labelled urls
+    asked = {"http://x.com/a/new": ("block", 1 / 7), "http://x.com/c/1": ("allow", 11 / 17), "http://x.com/a/new/q/r/s/t/u": ("block", 1 / 7)}
+    asked |= {"http://y.com/en/1": ("block", 1 / 10), "http://y.com": ("block", 1 / 10), "http://z.com/de/1": ("allow", 1 / 2)}
+    asked |= {"http://x.com/b": ("allow", 11 / 12)}
+    df = spark.createDataFrame([(None, u) for u in urls + [*asked]] + [(1, None)], "page_id long, url string")
+    got = U.judge(df, rules, back_off=True).collect()
+    assert len(got) == len(urls) + len(asked) + 1
+    seen = {f"http://{r.host}{r.path}": (r.verdict, round(r.purity, 6)) for r in got if r.rule is None}
+    want = {u: (v, round(p, 6)) for u, (v, p) in asked.items()} | {"http://": ("allow", 0.5)}
+    assert seen == want
+    assert [(r.host, r.path, r.rule, r.template) for r in got] and U.judge(df.limit(0), rules, back_off=True).count() == 0

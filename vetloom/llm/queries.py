@@ -69,7 +69,7 @@ def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vetloom.llm.urlfilter import judge
 
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages"), back_off=True)
 
 
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

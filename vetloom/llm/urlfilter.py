@@ -6,7 +6,9 @@ node that has many children. Branches of a node that hold labelled urls and whos
 blocked urls doesn't differ from the node's (|z| < SIMILAR) are merged into one, written ~.
 A template, the path of labels from the host down, is rejected where its smoothed purity, the
 share of labelled urls that are allowed with SMOOTHING added to both sides, is below LEAST_PURE.
-Urls that a rule fits are the labelled ones. A template without them has purity 1/2 and stays.
+Urls that a rule fits are the labelled ones. A template without them has purity 1/2 and stays or,
+with back_off, as in the query, the purity of the nearest node on its way up to the host that holds
+some; 1/2 is then left to hosts without labelled urls.
 
 The tree is DEPTH levels deep; what follows is one more segment, whole. Urls are first summed by
 host and shape of path, so what the levels handle is one row a shape, however many urls a host
@@ -107,13 +109,34 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return rows
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH) -> DataFrame:
+def with_nodes(rows: DataFrame, depth: int) -> DataFrame:
+    """rows with a row for each node on the way from the host, at level 0, to the template."""
+    # only the last label, below the depth, may have slashes in it
+    lowest = F.least(F.size(F.split("template", "/")) - 1, F.lit(depth))
+    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), lowest)))
+    return rows.withColumn("node", F.expr("substring_index(template, '/', level + 1)"))
+
+
+def backed_off(own: DataFrame, depth: int) -> DataFrame:
+    """own(host, template, good, bad), where templates without labelled urls have the sums of the nearest node with some."""
+    own = materialise(own, "templates")
+    known = own.where("good + bad > 0")
+    nodes = with_nodes(known, depth).groupBy("host", "node").agg(F.sum("good").alias("node_good"), F.sum("bad").alias("node_bad"))
+    near = with_nodes(own.where("good + bad = 0").select("host", "template"), depth).join(nodes, ["host", "node"])
+    near = near.groupBy("host", "template").agg(F.max_by(F.struct("node_good", "node_bad"), "level").alias("near"))
+    rows = own.join(near, ["host", "template"], "left")
+    return rows.select("host", "template", *[F.coalesce(f"near.node_{c}", c).alias(c) for c in ("good", "bad")])
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH, back_off: bool = False) -> DataFrame:
     """id, host, path, rule, verdict, template and its smoothed purity for every row of pages."""
     rows = by_rules(pages, rules, id_col, url_col).withColumn("shape", shape(F.col("path"), depth))
     good, bad = (F.count_if(F.col("labelled") == v) for v in ("allow", "block"))
     counts = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
     found = templates(counts, depth)
     own = found.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    if back_off:
+        own = backed_off(own, depth)
     purity = (F.col("good") + SMOOTHING) / (F.col("good") + F.col("bad") + 2 * SMOOTHING)
     own = own.select(F.col("host").alias("h"), F.col("template").alias("t"), purity.alias("purity"))
     found = found.join(own, (found["host"] == own["h"]) & (found["template"] == own["t"])).select("h", F.col("shape").alias("s"), "template", "purity")
