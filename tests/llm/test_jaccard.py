@@ -92,3 +92,17 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == want
     assert [r.text for r in got if r.doc_id is None] == ["quite alone here"]
     assert J.one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_of_each_on_repeated_and_null_ids(spark):
+    # one id with two texts that have nothing in common, copies whose ids are all null, and empty texts that repeat
+    one, two, copied, near = "a b c d e f", "u v w x y z", "k l m n o p q", "K l m  n o p q"
+    rows = [(1, one), (1, two), (2, one), (None, copied), (None, copied), (None, near), (4, ""), (4, ""), (None, None), (None, None), (3, "g h i"), (3, "g h i")]
+    df = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in J.one_of_each(df).collect()), key=str)
+    kept_copy = [t for i, t in got if i is None and t]
+    assert len(kept_copy) == 1 and kept_copy[0] in (copied, near)
+    assert got == sorted([(1, one), (1, two), (None, kept_copy[0]), (4, ""), (4, ""), (None, None), (None, None), (3, "g h i")], key=str)
+    # without repeated rows
+    df = spark.createDataFrame([(i, t, 1, 1) for i, t in [(1, one), (1, two), (2, two), (None, copied), (None, near)]], SCHEMA)
+    assert sorted((r.doc_id or 0) for r in J.one_of_each(df).collect()) == [0, 1, 1]

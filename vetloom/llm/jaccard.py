@@ -443,23 +443,37 @@ def set_components(docs: DataFrame, rows: DataFrame, width: int, num: int, den:
     return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles and component_id (least doc_id reachable) of every row of docs."""
+def labelled(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles and component (its least node, null without words) of every row of docs."""
     docs = docs.select("doc_id", "text")
     rows, classes = survey(docs, width)
     labels = set_components(docs, rows, width, num, den, classes)
-    known = rows.where("n > 0").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("doc_id", "h", "n", "component")
+    known = rows.where("n > 0").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = known.select("doc_id", "h", F.col("n").alias("n_shingles"), "component")
+    return known.union(rows.where("n = 0").select("doc_id", "h", "n", F.lit(None).cast("long")))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles and component_id (least doc_id reachable) of every row of docs."""
+    found = labelled(docs, width, num, den)
+    known = found.where("component IS NOT NULL")
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = known.join(least, "component").select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id")
-    return known.union(rows.where("n = 0").select("doc_id", "h", "n", F.col("doc_id").alias("component_id")))
+    known = known.join(least, "component").select("doc_id", "h", "n_shingles", "component_id")
+    return known.union(found.where("component IS NULL").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs with one row of each component left, that of the least doc_id; rows without words all stay."""
-    found = materialise(jaccard_components(docs, width, num, den), "components")
-    alone = found.where("n_shingles = 0 OR component_id IS NULL").select("doc_id", "h")
-    stays = found.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("h")).union(alone)
-    stays = materialise(stays.select(F.col("doc_id").alias("d_"), F.col("h").alias("h_")), "stays")
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["d_"]) & (F.xxhash64(docs["text"]) == stays["h_"]), "left_semi")
-    twice = found.where("n_shingles > 0").groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if twice else kept
+    """docs with one row of each component left, that of the least doc_id, null last, and of its least hash; rows without words all stay."""
+    found = materialise(labelled(docs, width, num, den), "components")
+    known = found.where("component IS NOT NULL")
+    first = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("row"))
+    first = first.select(F.col("row.doc_id").alias("d_"), F.col("row.h").alias("h_"))
+    alone = found.where("component IS NULL").select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"))
+
+    def rows_of(stays: DataFrame) -> DataFrame:
+        stays = materialise(stays, "stays")
+        return docs.join(stays, docs["doc_id"].eqNullSafe(stays["d_"]) & F.xxhash64(docs["text"]).eqNullSafe(stays["h_"]), "left_semi")
+
+    if known.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
+        return rows_of(first).dropDuplicates(["doc_id", "text"]).union(rows_of(alone))
+    return rows_of(first.union(alone))
