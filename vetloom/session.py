@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -49,12 +54,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset and the master is local.
+
+    A temporary folder of one machine is of no use to other executors, so elsewhere it must be set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="vetloom-work-")
-        atexit.register(shutil.rmtree, base[len("file://") :], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _folders.get(sc.applicationId)
+        if base is None:
+            base = _folders[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="vetloom-work-")
+            atexit.register(shutil.rmtree, base[len("file://") :], ignore_errors=True)
     return base.rstrip("/")
 
 
@@ -63,6 +75,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a write go as soon as it ends; stages that are tried again make them anew."""
+    own = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, own)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
 
@@ -70,14 +93,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_dropped(spark):
+        df.select("*").write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that materialise() made and nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of tables that materialise() made and nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
