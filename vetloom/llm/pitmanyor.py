@@ -17,42 +17,47 @@ with more customers). The weight a is that before the sweep of the level, and to
 date between two passes. The predictive probabilities of the SAMPLES last sweeps are averaged, and
 each restaurant's weight of its parent is what its averages leave of 1, so the model adds up to 1.
 
-Data flow: texts are cut into blocks of about BLOCK_TOKENS tokens, kept as numbers of the block's own
-words. A block's pairs of a word and the word before go to the buckets of the hashes of the first,
-where their counts meet; each bucket is sampled as a whole; and each block gets back the parameters
-of its own words and pairs and no others. The tables of a word's restaurant lie in many buckets: they
-are summed in the bucket of that word, and the sums sent to the buckets that asked, between passes.
-What is moved grows with the distinct pairs of the blocks. Only totals of the classes, of fixed size,
-reach the driver. A word before is known by 64 bits of its hash (of ten million words, any two are
-alike with a chance of 3 in a million).
+Data flow: texts are cut into blocks of about BLOCK_TOKENS tokens, written as numbers of the block's
+own words; a text of more goes on in the next block. Words are in the order of their hashes, whose
+ranges make the buckets, so a block's pairs of a word and the word before go to a bucket as one run,
+and pairs are told by small steps. In a bucket the blocks' counts meet; each bucket is sampled as a
+whole; and each block gets back the parameters of its own words and pairs and no others. The tables of
+a word's restaurant lie in many buckets: they are summed in the bucket of that word, and the sums sent
+to the buckets that asked, between passes. What is moved grows with the distinct pairs of the blocks.
+Only totals of the classes, of fixed size, reach the driver. A word is known by HASH_BITS bits of its
+hash (of ten million words, two are alike with a chance of one in 1400; such words are one), and as a
+restaurant by the first CONTEXT_BITS of these (of ten million words, some three pairs share one).
 
 Defined results: tokens are the words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased and one
 end token, so a null or empty text has one token; rows that repeat are each counted and scored; a
 null doc_id is kept; extra columns are ignored, whatever their names; without training documents
-base_score and score give every token probability 1 / (V + 1), V = 0; an empty table gives an
-empty table.
+base_score and score give every token probability 1 / (V + 1), V = 0; a text of any length is scored
+whole, a part in each of its blocks; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import pickle
+import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vetloom.session import materialise
+from vetloom.session import discard, materialise
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 800_000
 #: Documents for each bucket of words.
-DOCS_PER_BUCKET = 4000
+DOCS_PER_BUCKET = 6000
+HASH_BITS, CONTEXT_BITS = 56, 44
 PARENTS, ENDINGS = 16, 64
 #: Restaurants of classes by number: ENDINGS and the start of a text, then their PARENTS and that of the start, then the root.
 START, FIRST_PARENT = ENDINGS, ENDINGS + 1
@@ -61,10 +66,12 @@ RESTAURANTS = ROOT + 1
 PARENT = np.array([*(FIRST_PARENT + u // (ENDINGS // PARENTS) for u in range(ENDINGS)), START_PARENT])
 STRENGTH = 5.0
 BURN_IN, SAMPLES = 4, 4
+#: Discounts of the seating that sampling starts from.
+START_DISCOUNT = 0.75
 MOST = 256
 #: The end of a text is a token; no word has a line feed.
 END = b"\n"
-_WHITE = bytes([0x20, *range(0x09, 0x0E)])
+_WHITESPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def packed(*arrays) -> bytes:
@@ -75,9 +82,29 @@ def unpacked(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def steps(ascending: np.ndarray) -> np.ndarray:
-    """Ascending numbers as small steps, which pack well; np.cumsum gives them back."""
-    return np.diff(ascending, prepend=0).astype(np.uint32)
+def planes(numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Whole numbers from 0 on as the bytes that they need, all least bytes first, which packs well."""
+    x = np.ascontiguousarray(numbers, np.uint64)
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return tuple(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, k]) for k in range(width))
+
+
+def whole(bytes_of: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The numbers of planes()."""
+    x = bytes_of[0].astype(np.int64)
+    for k, more in enumerate(bytes_of[1:], 1):
+        x |= more.astype(np.int64) << (8 * k)
+    return x
+
+
+def steps(ascending: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ascending numbers by their steps."""
+    return planes(np.diff(np.asarray(ascending, np.uint64), prepend=np.uint64(0)))
+
+
+def walked(bytes_of: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The numbers of steps()."""
+    return np.cumsum(whole(bytes_of))
 
 
 def coarse(x: np.ndarray) -> np.ndarray:
@@ -93,14 +120,34 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def parts_of(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in parts of about size bytes."""
+    data, at = (text or "").encode("utf-8", "surrogatepass"), 0
+    while at < len(data):
+        white = _WHITESPACE.search(data, at + size)
+        to = white.start() if white else len(data)
+        yield data[at:to].lower().split()
+        at = to
+
+
 def ending(word: bytes) -> int:
     """The class of this word as a word before another."""
     last, before = word[-1], word[-2] if len(word) > 1 else 0
     return (last * 0x9E37 >> 3) % PARENTS * (ENDINGS // PARENTS) + (before * 0x79B9 >> 4) % (ENDINGS // PARENTS)
 
 
-def hash_of(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - HASH_BITS)
+
+
+def context_of(hashes: np.ndarray) -> np.ndarray:
+    """The number of the words' restaurants, in the order of the hashes."""
+    return hashes >> hashes.dtype.type(HASH_BITS - CONTEXT_BITS)
+
+
+def bucket_of(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of words' restaurants, and so of words."""
+    return np.minimum((contexts.astype(np.float64) * (buckets / 2.0**CONTEXT_BITS)).astype(np.int64), buckets - 1)
 
 
 def small(p: np.ndarray) -> np.ndarray:
@@ -115,63 +162,74 @@ def unsmall(x: np.ndarray) -> np.ndarray:
 # --- blocks ---------------------------------------------------------------------------------
 
 
+def tokens_of(text: str | None) -> Iterator[list[bytes]]:
+    """The tokens of a text in parts; the last part has the END."""
+    words: list[bytes] = []
+    for part in parts_of(text):
+        if words:
+            yield words
+        words = part
+    yield [*words, END]
+
+
 class Block:
-    """Texts as numbers of the block's own words, and how often each word follows each other in training."""
+    """Parts of texts, which after packed() are ranks of the block's own words in the order of their hashes."""
 
     def __init__(self):
         self.number = defaultdict(count().__next__)
+        self.number[END]
         self.ids: list[np.ndarray] = []
         self.docs: list = []
-        self.held: list[bool] = []
+        self.marks: list[tuple[int, int, bool, bool]] = []
         self.tokens = 0
 
-    def add(self, doc, text: str | None, held: bool) -> None:
-        words = words_of(text)
-        words.append(END)
-        own = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
-        self.ids.append(own)
+    def add(self, uid: int, doc, words: list[bytes], held: bool, lead: bytes | None) -> None:
+        """lead, the word before a part that isn't a text's first, stands before its words and doesn't count."""
+        if lead is not None:
+            words = [lead, *words]
+        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.docs.append(doc)
-        self.held.append(held)
-        self.tokens += len(own)
-
-    def rows(self, block: int, buckets: int) -> Iterator[tuple]:
-        """The texts' row, then a row for each bucket with words: (block, bucket, documents, data)."""
-        ids = np.concatenate(self.ids)
-        lengths = np.array([len(x) for x in self.ids])
-        yield block, None, self.docs, packed(ids, lengths, np.array(self.held))
-        keys, where = np.unique(pairs(ids), return_inverse=True)
-        n = np.bincount(where, np.repeat(~np.array(self.held), lengths), len(keys)).astype(np.uint32)
-        words = list(self.number)
-        hashes = np.fromiter(map(hash_of, words), np.uint64, len(words))
-        kind = np.fromiter(map(ending, words), np.uint8, len(words))
-        kind[self.number[END]] = START
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        owner = bucket[keys >> 32]
-        by = np.argsort(owner, kind="stable")
-        keys, n = keys[by], n[by]
-        pair_at = np.searchsorted(owner[by], np.arange(buckets + 1))
-        for b in range(buckets):
-            lo, hi = at[b], at[b + 1]
-            if lo < hi:
-                cells = slice(pair_at[b], pair_at[b + 1])
-                own = order[lo:hi]
-                size = np.bincount(place[keys[cells] >> 32] - lo, minlength=hi - lo).astype(np.uint32)
-                before, which = np.unique(keys[cells] & 0xFFFFFFFF, return_inverse=True)
-                yield block, b, None, packed(b" ".join(words[k] for k in own), steps(own), size, hashes[before], kind[before], which.astype(np.uint32), n[cells])
-
-
-def pairs(ids: np.ndarray) -> np.ndarray:
-    """Each token's word and the one before, as one number; before a text's first is the END of another."""
-    return ids.astype(np.int64) << 32 | np.concatenate([ids[-1:], ids[:-1]]).astype(np.int64)
-
-
-def blocks(docs: DataFrame, held: Column, buckets: int) -> DataFrame:
-    """block, bucket, docs, data: see Block.rows; materialised, so that numbers of blocks stay."""
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+        self.marks.append((uid, len(words), held, lead is not None))
+        self.tokens += len(words)
+
+    def packed(self) -> bytes:
+        hashes = hashes_of(list(self.number))
+        # words of one hash are one
+        own, rank = np.unique(hashes, return_inverse=True)
+        kind = np.zeros(len(own), np.uint8)
+        kind[rank] = np.fromiter(map(ending, self.number), np.uint8, len(hashes))
+        kind[rank[self.number[END]]] = START
+        uid, length, held, lead = (np.array(x) for x in zip(*self.marks))
+        return packed(planes(rank[np.concatenate(self.ids)]), steps(own), kind, int(rank[self.number[END]]), uid, planes(length), held, lead)
+
+
+@dataclass
+class Opened:
+    """What a block's row holds."""
+
+    ids: np.ndarray
+    hashes: np.ndarray
+    kind: np.ndarray
+    uid: np.ndarray
+    length: np.ndarray
+    held: np.ndarray
+    counted: np.ndarray  # of each token, whether it counts, as the word before a part doesn't
+    keys: np.ndarray  # each different pair: the rank of a word and of that before it
+    where: np.ndarray  # the pair of each token
+
+
+def opened(data: bytes) -> Opened:
+    ids, hashes, kind, end, uid, length, held, lead = unpacked(data)
+    ids, length = whole(ids), whole(length)
+    counted = np.ones(len(ids), bool)
+    counted[(np.cumsum(length) - length)[lead]] = False
+    keys, where = np.unique(ids << 32 | np.concatenate([[end], ids[:-1]]), return_inverse=True)
+    return Opened(ids, walked(hashes), kind, uid, length, held, counted, keys, where)
+
+
+def blocks(docs: DataFrame, held: Column) -> DataFrame:
+    """block, docs, data; materialised, so that numbers of blocks stay."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,69 +238,121 @@ def blocks(docs: DataFrame, held: Column, buckets: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         block, field = Block(), None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for row in block.rows(number, buckets):
-                columns = [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.list_(field), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "docs", "data"])
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([number]), pa.array([block.docs], pa.list_(field)), pa.array([block.packed()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "docs", "data"])
 
         for b in batches:
-            field = b.schema.field(0).type
-            for doc, text, is_held in zip(*(c.to_pylist() for c in b.columns)):
-                block.add(doc, text, is_held)
-                if block.tokens >= BLOCK_TOKENS:
-                    yield from flush()
-                    block, number = Block(), number + 1
+            field = b.schema.field(1).type
+            for uid, doc, text, is_held in zip(*(c.to_pylist() for c in b.columns)):
+                lead = None
+                for words in tokens_of(text):
+                    block.add(uid, doc, words, is_held, lead)
+                    lead = words[-1]
+                    if block.tokens >= BLOCK_TOKENS:
+                        yield flush()
+                        block, number = Block(), number + 1
         if block.docs:
-            yield from flush()
+            yield flush()
 
-    return materialise(rows.mapInArrow(run, f"block long, bucket long, docs array<{kind}>, data binary"), "blocks")
+    return materialise(rows.mapInArrow(run, f"block long, docs array<{kind}>, data binary"), "blocks")
+
+
+def pairs(found: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, data: each block's words and pairs of each bucket, and how often a pair is in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                o = opened(data)
+                n = np.bincount(o.where, np.repeat(~o.held, o.length) & o.counted, len(o.keys)).astype(np.int64)
+                owner = bucket_of(context_of(o.hashes), buckets)
+                at = np.searchsorted(owner, np.arange(buckets + 1))
+                word, before = o.keys >> 32, o.keys & 0xFFFFFFFF
+                pair_at = np.searchsorted(word, at)
+                out = []
+                for k in np.unique(owner):
+                    cells = slice(pair_at[k], pair_at[k + 1])
+                    size = np.bincount(word[cells] - at[k], minlength=at[k + 1] - at[k])
+                    own, which = np.unique(before[cells], return_inverse=True)
+                    out.append((int(k), block, packed(steps(o.hashes[at[k] : at[k + 1]]), planes(size), steps(context_of(o.hashes[own])), o.kind[own], planes(which), planes(n[cells]))))
+                columns = zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["bucket", "block", "data"])
+
+    return found.select("block", "data").mapInArrow(run, "bucket long, block long, data binary")
 
 
 # --- buckets --------------------------------------------------------------------------------
 
+KINDS = ("cells", "asks", "state", "totals", "share", "tables", "reply")
+ROW = "bucket long, part long, " + ", ".join(f"{k} binary" for k in KINDS)
+
+
+def row_table(rows: Iterable[tuple]) -> pa.Table:
+    """Of rows (bucket, kind, part, arrays)."""
+    rows = [(b, kind, part, packed(*arrays)) for b, kind, part, arrays in rows]
+    columns = {"bucket": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([r[2] for r in rows], pa.int64())}
+    return pa.table(columns | {k: pa.array([r[3] if r[1] == k else None for r in rows], pa.binary()) for k in KINDS})
+
+
+def of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    """bucket, kind, part, data; no other kind is read."""
+    return rows.where(F.col(kind).isNotNull()).select("bucket", F.lit(kind).alias("kind"), "part", F.col(kind).alias("data"))
+
+
+@dataclass
+class Cells:
+    """A bucket's words and the words before them by hash, and its pairs in the order of both, with their customers."""
+
+    hashes: np.ndarray
+    contexts: np.ndarray
+    kind: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
+    n: np.ndarray
+
+    def packed(self) -> tuple:
+        return steps(self.hashes), steps(self.contexts), self.kind, steps(self.word), planes(self.context), planes(self.n)
 
-def merged(found: DataFrame) -> DataFrame:
-    """One row for each bucket: its words' counts by the word before, and which block asks for which word and pair."""
+    @classmethod
+    def of(cls, data: tuple) -> Cells:
+        hashes, contexts, kind, word, context, n = data
+        return cls(walked(hashes), walked(contexts), kind, walked(word), whole(context), whole(n))
+
+    def seated(self) -> Cells:
+        """Those with customers, as other pairs are in texts that are held out alone."""
+        seen = self.n > 0
+        return Cells(self.hashes, self.contexts, self.kind, self.word[seen], self.context[seen], self.n[seen])
+
+
+def merged(found: DataFrame, begin) -> DataFrame:
+    """Each bucket's cells, what begin(bucket, cells) gives, and which words and pairs each block asks for."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        number = defaultdict(count().__next__)
-        asks, words_at, hashes, kinds, ns = [], [], [], [], []
-        for block, data in zip(table.column("block").to_pylist(), table.column("data").to_pylist()):
-            words, own, size, before, kind, which, n = unpacked(data)
-            at = np.fromiter(map(number.__getitem__, words.split(b" ")), np.int64, len(size))
-            asks.append((block, own, at.astype(np.int32)))
-            words_at.append(np.repeat(at, size))
-            hashes.append(before[which])
-            kinds.append(kind[which])
-            ns.append(n)
-        ends = np.cumsum([len(x) for x in ns])[:-1]
-        n = np.concatenate(ns)
-        contexts, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        kind = np.concatenate(kinds)[first]
-        keys, where = np.unique(np.concatenate(words_at) << 32 | which, return_inverse=True)
-        n = np.bincount(where, n, minlength=len(keys)).astype(np.uint32)
-        # pairs that are in no training text have no customers, and come after those that have
-        seen = n > 0
-        place = np.where(seen, np.cumsum(seen) - 1, np.int64(seen.sum())).astype(np.int32)
-        unseen = np.nonzero(~seen)[0]
-        loose = np.full(len(keys), -1, np.int32)
-        loose[unseen] = np.arange(len(unseen))
-        asks = [(*a, np.where(seen[w], place[w], len(n) - len(unseen) + loose[w]).astype(np.int32)) for a, w in zip(asks, np.split(where, ends))]
-        order = np.concatenate([np.nonzero(seen)[0], unseen])
-        own_hashes = np.fromiter(map(hash_of, number), np.uint64, len(number))
-        data = packed(own_hashes, contexts, kind, (keys >> 32).astype(np.int32)[order], (keys & 0xFFFFFFFF).astype(np.int32)[order], n[seen], asks)
-        return row_table([(key[0].as_py(), "cells", None, data)])
-
-    rows = found.where("bucket IS NOT NULL").select("bucket", "block", "data")
-    return materialise(rows.groupBy("bucket").applyInArrow(run, ROW), "buckets")
-
-
-ROW = "bucket long, kind string, part long, data binary"
-
-
-def row_table(rows: list[tuple]) -> pa.Table:
-    kinds = (("bucket", pa.int64()), ("kind", pa.string()), ("part", pa.int64()), ("data", pa.binary()))
-    return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(kinds)})
+        order = np.argsort(table.column("block").to_numpy())
+        data = table.column("data")
+        rows = [unpacked(data[int(i)].as_py()) for i in order]
+        own = [walked(r[0]) for r in rows]
+        befores = [walked(r[2]) for r in rows]
+        hashes, contexts = (np.unique(np.concatenate(x)) for x in (own, befores))
+        kind = np.zeros(len(contexts), np.uint8)
+        keys = []
+        for r, words, before in zip(rows, own, befores):
+            at = np.searchsorted(contexts, before)
+            kind[at] = r[3]
+            keys.append(np.repeat(np.searchsorted(hashes, words), whole(r[1])) << 32 | at[whole(r[4])])
+        every = np.unique(np.concatenate(keys))
+        n = np.zeros(len(every), np.int64)
+        asks = []
+        for block, r, words, k in zip(table.column("block").to_numpy()[order].tolist(), rows, own, keys):
+            at = np.searchsorted(every, k)
+            np.add.at(n, at, whole(r[5]))
+            asks.append((block, steps(np.searchsorted(hashes, words)), steps(at)))
+        cells = Cells(hashes, contexts, kind, every >> 32, every & 0xFFFFFFFF, n)
+        bucket = key[0].as_py()
+        return row_table([(bucket, "cells", None, cells.packed()), (bucket, "asks", None, (asks,)), *begin(bucket, cells.seated())])
+
+    return materialise(found.groupBy("bucket").applyInArrow(run, ROW), "buckets")
 
 
 def alone_table(d: float) -> np.ndarray:
@@ -357,11 +467,11 @@ class WordSeating:
     def __init__(self, word, context, kind, n, discount: np.ndarray, alone: list[np.ndarray], t=None, classes=None):
         self.d, self.log_s = discount[0], log_stirling(alone[0], discount[0])
         self.context, self.n = context, n.astype(np.int64)
-        self.t = np.clip(np.rint(self.n**self.d), 1, self.n).astype(np.int64) if t is None else t.astype(np.int64)
+        self.t = np.clip(np.rint(self.n**self.d), 1, self.n).astype(np.int64) if t is None else whole(t)
         self.keys, self.up = np.unique(np.asarray(word, np.int64) * 128 + kind[context], return_inverse=True)
         self.classes = Seating(self.keys >> 7, self.keys & 127, self.customers(), discount[1:], alone[1:])
         if classes is not None:
-            self.classes.c, self.classes.t = ([x.astype(np.int64) for x in xs] for xs in classes)
+            self.classes.c, self.classes.t = ([whole(x) for x in xs] for xs in classes)
 
     def customers(self) -> np.ndarray:
         return np.bincount(self.up, self.t, minlength=len(self.keys)).astype(np.int64)
@@ -374,7 +484,7 @@ class WordSeating:
         self.classes.sweep(totals, base, rng)
 
     def state(self) -> tuple:
-        return self.t.astype(np.uint32), ([x.astype(np.uint32) for x in self.classes.c], [x.astype(np.uint32) for x in self.classes.t])
+        return planes(self.t), ([planes(x) for x in self.classes.c], [planes(x) for x in self.classes.t])
 
 
 def discounts(seen: np.ndarray) -> np.ndarray:
@@ -389,14 +499,14 @@ def by_bucket(rows: DataFrame, run, name: str) -> DataFrame:
         got = defaultdict(list)
         for kind, part, data in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data"))):
             got[kind].append((part, unpacked(data)))
-        return row_table([(b, kind, part, packed(*arrays)) for b, kind, part, arrays in run(key[0].as_py(), got)])
+        return row_table(run(key[0].as_py(), got))
 
     return materialise(rows.groupBy("bucket").applyInArrow(each, ROW), name)
 
 
-def sums_of(rows: DataFrame, kind: str) -> list[np.ndarray] | None:
-    """Arrays of fixed size, summed over all buckets."""
-    found = [unpacked(r.data) for r in rows.where(F.col("kind") == kind).select("data").collect()]
+def sums_of(rows: DataFrame) -> list[np.ndarray] | None:
+    """The totals, arrays of fixed size, summed over all buckets."""
+    found = [unpacked(r.data) for r in of_kind(rows, "totals").select("data").collect()]
     return [sum(x) for x in zip(*found)] if found else None
 
 
@@ -404,86 +514,79 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows that are held out teach nothing."""
     n_docs = docs.count()
     n_buckets = max(8, -(-n_docs // DOCS_PER_BUCKET))
-    found = blocks(docs, held, n_buckets)
-    buckets = merged(found)
+    texts = blocks(docs, held)
 
-    def first(_, got):
-        _, _, kind, word, context, n, _ = got["cells"][0][1]
-        word, context = word[: len(n)].astype(np.int64), context[: len(n)]
-        keys, c0 = np.unique(word * 128 + kind[context], return_counts=True)
+    def shares(bucket: int, contexts: np.ndarray, tables: np.ndarray) -> Iterator[tuple]:
+        """This bucket's tables of each word's restaurant, for the bucket of that word; in as many parts as are averaged."""
+        at = np.searchsorted(bucket_of(contexts, n_buckets), np.arange(n_buckets + 1))
+        for b in np.nonzero(np.diff(at))[0]:
+            own = slice(at[b], at[b + 1])
+            yield int(b), "share", bucket, (steps(contexts[own]), planes(tables[own]))
+
+    alike = np.full(4, START_DISCOUNT)
+    plain = [alone_table(START_DISCOUNT)] * 4
+
+    def begin(bucket: int, c: Cells) -> Iterator[tuple]:
+        s = WordSeating(c.word, c.context, c.kind, c.n, alike, plain)
+        keys, c0 = np.unique(c.word * 128 + c.kind[c.context], return_counts=True)
         keys, c1 = np.unique((keys >> 7) * 128 + PARENT[keys & 127], return_counts=True)
-        _, c2 = np.unique(keys >> 7, return_counts=True)
-        ones = np.array([(x == k).sum() for x in (n, c0, c1, c2) for k in (1, 2)], float)
-        yield None, "totals", None, (np.array([n.sum(dtype=np.int64), len(np.unique(word))], np.int64), ones)
+        words, c2 = np.unique(keys >> 7, return_counts=True)
+        ones = np.array([(x == k).sum() for x in (c.n, c0, c1, c2) for k in (1, 2)], float)
+        yield bucket, "totals", None, (s.classes.customer_totals(), s.classes.table_totals(), ones, np.array([c.n.sum(), len(words)], np.int64))
+        yield from shares(bucket, c.contexts, np.bincount(c.context, s.t, len(c.contexts)))
 
-    counted, ones = sums_of(by_bucket(buckets, first, "counts"), "totals") or (np.zeros(2, np.int64), np.zeros(8))
+    buckets = merged(pairs(texts, n_buckets), begin)
+    *totals, ones, counted = sums_of(buckets) or (np.zeros(RESTAURANTS), np.zeros(RESTAURANTS), np.zeros(8), np.zeros(2, np.int64))
     n_train, n_types = int(counted[0]), int(counted[1])
     discount = discounts(ones)
     alone = [alone_table(d) for d in discount]
     base = 1 / (n_types + 1)
 
-    def by_home(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts in the order of the buckets of their words, and where each bucket's begin."""
-        home = (contexts % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        return order, np.searchsorted(home[order], np.arange(n_buckets + 1))
-
-    def shares(bucket: int, contexts: np.ndarray, tables: np.ndarray) -> Iterator[tuple]:
-        """This bucket's tables of each word's restaurant, for the bucket of that word."""
-        order, at = by_home(contexts)
-        for b in range(n_buckets):
-            own = order[at[b] : at[b + 1]]
-            if len(own):
-                yield b, "share", bucket, (contexts[own], tables[own].astype(np.float32))
-
     def relay(bucket, got):
         parts, arrays = zip(*got["share"])
-        _, where = np.unique(np.concatenate([a[0] for a in arrays]), return_inverse=True)
-        total = np.bincount(where, np.concatenate([a[1] for a in arrays]))[where].astype(np.float32)
-        for part, own in zip(parts, np.split(total, np.cumsum([len(a[0]) for a in arrays])[:-1])):
-            yield part, "tables", bucket, (own,)
+        own = [walked(a[0]) for a in arrays]
+        every, where = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.bincount(where, np.concatenate([whole(a[1]) for a in arrays]), len(every))[where]
+        for part, t in zip(parts, np.split(total, np.cumsum([len(x) for x in own])[:-1])):
+            yield part, "tables", bucket, (planes(t),)
 
     def run_pass(rounds: int, totals, last: bool):
         def run(bucket, got):
-            _, contexts, kind, word, context, n, _ = got["cells"][0][1]
-            word, context = word[: len(n)], context[: len(n)]
+            c = Cells.of(got["cells"][0][1]).seated()
+            n = c.n
             state = got["state"][0][1] if got["state"] else (None, None)
-            s = WordSeating(word, context, kind, n, discount, alone, *state)
-            tables = np.zeros(len(contexts))
-            order, at = by_home(contexts)
-            for part, (own,) in got["tables"]:
-                tables[order[at[part] : at[part + 1]]] = own
+            s = WordSeating(c.word, c.context, c.kind, n, discount, alone, *state)
+            # parts are in the order of the contexts' hashes
+            tables = np.concatenate([np.zeros(0), *(whole(t) for _, (t,) in sorted(got["tables"], key=lambda x: x[0]))])
             rng = np.random.default_rng((bucket, int(last)))
             means, seats = [np.zeros(len(n)), *(np.zeros(len(w)) for w in s.classes.word)], [np.zeros(RESTAURANTS), np.zeros(RESTAURANTS)]
-            own_tables = np.zeros(len(contexts))
+            own_tables = np.zeros(len(c.contexts))
             for _ in range(rounds):
                 s.sweep(tables, totals, base, rng)
                 if last:
-                    means[0] += (s.n - s.d * s.t) / rounds
-                    own_tables += np.bincount(context, s.t, len(contexts)) / rounds
+                    means[0] += (n - s.d * s.t) / rounds
+                    own_tables += np.bincount(c.context, s.t, len(c.contexts))
                     seats[0] += s.classes.customer_totals() / rounds
                     seats[1] += s.classes.table_totals() / rounds
                     for k in range(3):
                         means[k + 1] += (s.classes.c[k] - discount[k + 1] * s.classes.t[k]) / rounds
             if not last:
-                own_tables = np.bincount(context, s.t, len(contexts))
+                own_tables = np.bincount(c.context, s.t, len(c.contexts))
                 seats = [s.classes.customer_totals().astype(float), s.classes.table_totals().astype(float)]
-            yield bucket, "state", None, (coarse(means[0]), *means[1:]) if last else s.state()
+            yield bucket, "state", None, (planes(coarse(means[0])), *(x.astype(np.float32) for x in means[1:])) if last else s.state()
             yield bucket, "totals", None, seats
-            yield from shares(bucket, contexts, own_tables)
+            yield from shares(bucket, c.contexts, own_tables)
 
         return run
 
-    def kept(rows: DataFrame, *kinds: str) -> DataFrame:
-        return rows.where(F.col("kind").isin(*kinds))
-
-    rows, none = buckets, [np.zeros(RESTAURANTS), np.zeros(RESTAURANTS)]
-    totals = none
-    for name, rounds, last in (("begin", 0, False), ("burn_in", BURN_IN, False), ("sampled", SAMPLES, True)):
-        after = by_bucket(rows, run_pass(rounds, tuple(totals), last), name)
-        totals = sums_of(after, "totals") or none
-        if not last:
-            rows = buckets.union(kept(after, "state")).union(by_bucket(kept(after, "share"), relay, "tables"))
+    before = buckets
+    for name, rounds, last in (("burn_in", BURN_IN, False), ("sampled", SAMPLES, True)):
+        tables = by_bucket(of_kind(before, "share"), relay, "tables")
+        rows = of_kind(buckets, "cells").union(of_kind(tables, "tables"))
+        after = by_bucket(rows if before is buckets else rows.union(of_kind(before, "state")), run_pass(rounds, tuple(totals), last), name)
+        totals = sums_of(after) or totals
+        discard(tables, *([before] if before is not buckets else []))
+        before = after
 
     scale = STRENGTH + totals[0]
     level = np.array([*[1] * FIRST_PARENT, *[2] * (PARENTS + 1), 3])
@@ -491,14 +594,16 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
 
     def answers(bucket, got):
         """For each block that asks, its words' counts and tables, and its pairs' averages and what is above them."""
-        hashes, _, kind, word, context, n, asks = got["cells"][0][1]
+        c = Cells.of(got["cells"][0][1])
+        seen = c.n > 0
         mean, *means = got["state"][0][1]
-        counts = np.bincount(word[: len(n)], n, minlength=len(hashes)).astype(np.uint32)
-        order = np.argsort(hashes)
-        tables = np.zeros(len(hashes))
+        counts = np.bincount(c.word, c.n, minlength=len(c.hashes)).astype(np.int64)
+        tables = np.zeros(len(c.hashes), np.int64)
+        first = np.searchsorted(homes := context_of(c.hashes), np.unique(homes))
         for _, (own, t) in got["share"]:
-            np.add.at(tables, order[np.searchsorted(hashes[order], own)], t)
-        s = WordSeating(word[: len(n)], context[: len(n)], kind, n, discount, alone).classes
+            tables[first[np.searchsorted(homes[first], walked(own))]] += whole(t)
+        tables = tables[np.searchsorted(homes, homes)]  # words of one restaurant have its tables each
+        s = WordSeating(c.word[seen], c.context[seen], c.kind, c.n[seen], discount, alone).classes
 
         def at(k: int, keys: np.ndarray) -> np.ndarray:
             own = s.word[k] * 128 + s.place[k]
@@ -507,52 +612,49 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
             i = np.minimum(np.searchsorted(own, keys), len(own) - 1)
             return np.where(own[i] == keys, means[k][i] / scale[s.place[k][i]], 0.0)
 
-        wide, near = word.astype(np.int64) * 128, kind[context].astype(np.int64)
-        far = PARENT[near]
-        above = small(at(0, wide + near) + rest[near] * (at(1, wide + far) + rest[far] * (at(2, wide + ROOT) + rest[ROOT] * base)))
-        mean = np.concatenate([np.maximum(mean, 1), np.zeros(len(word) - len(n), np.uint16)])
-        for block, own, asked, cells in asks:
-            yield block, "reply", None, (own, counts[asked], tables[asked].astype(np.float32), mean[cells], above[cells])
-
-    replies = by_bucket(buckets.union(kept(after, "state", "share")), answers, "replies")
-    texts = found.where("bucket IS NULL").select("block", "docs", "data")
+        near, which = np.unique(c.word * 128 + c.kind[c.context], return_inverse=True)
+        kind = near & 127
+        far = PARENT[kind]
+        wide = near - kind
+        above = small(at(0, near) + rest[kind] * (at(1, wide + far) + rest[far] * (at(2, wide + ROOT) + rest[ROOT] * base)))[which]
+        own_mean = np.zeros(len(c.n), np.uint16)
+        own_mean[seen] = np.maximum(whole(mean), 1)
+        for block, own, cells in got["asks"][0][1][0]:
+            own, cells = walked(own), walked(cells)
+            yield block, "reply", bucket, (planes(counts[own]), planes(tables[own]), planes(own_mean[cells]), planes(above[cells]))
+
+    asked = of_kind(buckets, "cells").union(of_kind(buckets, "asks")).union(of_kind(after, "state")).union(of_kind(after, "share"))
+    replies = by_bucket(asked, answers, "replies")
+    discard(buckets, after)
     kind = dict(docs.dtypes)["doc_id"]
-    both = texts.unionByName(replies.select(F.col("bucket").alias("block"), F.lit(None).cast(f"array<{kind}>").alias("docs"), "data"))
+    none = [F.lit(None).cast("long").alias("part"), "docs", "data"]
+    both = texts.select("block", *none).union(of_kind(replies, "reply").select("bucket", "part", F.lit(None).cast(f"array<{kind}>"), "data"))
     width = float(n_train + 0.5 * (n_types + 1))
 
     def evaluate(key: tuple, table: pa.Table) -> pa.Table:
-        names = table.column("docs")
-        parts = []
-        for is_text, data in zip(names.is_valid().to_pylist(), table.column("data").to_pylist()):
-            if is_text:
-                ids, lengths, is_held = unpacked(data)
-            else:
-                parts.append(unpacked(data))
-        n_words = sum(len(p[0]) for p in parts)
-        counts, tables, part = np.zeros(n_words, np.int64), np.zeros(n_words), np.zeros(n_words, np.int32)
-        for k, (own, n, t, _, _) in enumerate(parts):
-            own = np.cumsum(own, dtype=np.int64)
-            counts[own], tables[own], part[own] = n, t, k
-        keys, where = np.unique(pairs(ids), return_inverse=True)
-        # a part's pairs are in the order of their numbers
-        by = np.argsort(part[keys >> 32], kind="stable")
-        mean, above = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
-        before = keys[by] & 0xFFFFFFFF
+        part = table.column("part").to_pylist()
+        text = part.index(None)
+        data = table.column("data")
+        o = opened(data[text].as_py())
+        found = [unpacked(data[i].as_py()) for i in sorted((i for i in range(len(part)) if i != text), key=lambda i: part[i])]
+        # buckets are ranges of hashes, so their replies are one after another
+        counts, tables, mean, above = (np.concatenate([whole(f[k]) for f in found]) for k in range(4))
+        before = o.keys & 0xFFFFFFFF
         # a word of training has as many customers in its restaurant as it has occurrences
-        own = np.where(mean > 0, fine(mean), 0.0) + (STRENGTH + discount[0] * tables[before]) * unsmall(above)
-        chance = np.empty(len(keys))
-        chance[by] = own / (STRENGTH + counts[before])
-        at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        sums = lambda x: np.add.reduceat(x, at)
-        flat = names.drop_null().combine_chunks().flatten()
+        chance = np.where(mean > 0, fine(mean), 0.0) + (STRENGTH + discount[0] / SAMPLES * tables[before]) * unsmall(above)
+        chance /= STRENGTH + counts[before]
+        at = np.cumsum(o.length) - o.length
+        sums = lambda x: np.add.reduceat(np.where(o.counted, x, 0), at)
         return pa.table({
-            "doc_id": flat, "held_out": pa.array(is_held), "n_tokens": pa.array(lengths.astype(np.int64)),
-            "n_known": pa.array(sums((counts[ids] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(lengths), n_train)),
-            "base_score": pa.array(sums(np.log10((counts[ids] + 0.5) / width))), "score": pa.array(sums(np.log10(chance)[where])),
+            "uid": pa.array(o.uid), "doc_id": table.column("docs")[text].values, "held_out": pa.array(o.held), "n_tokens": pa.array(sums(np.ones(len(o.ids), np.int64))),
+            "n_known": pa.array(sums((counts > 0).astype(np.int64)[o.ids])), "base_score": pa.array(sums(np.log10((counts + 0.5) / width)[o.ids])),
+            "score": pa.array(sums(np.log10(chance)[o.where])),
         })
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.groupBy("block").applyInArrow(evaluate, schema)
+    scored = both.groupBy("block").applyInArrow(evaluate, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    total = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    whole_texts = scored.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *total)
+    return whole_texts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(log10_probability: float, tokens: int) -> float:
