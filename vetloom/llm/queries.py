@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetloom.llm.mixing import plan_sql
-from vetloom.session import materialise, ship
+from vetloom.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,7 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vetloom.llm.mixing import plan, sized
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return plan(materialise(sized(docs), "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+    return plan(sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
