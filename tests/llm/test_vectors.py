@@ -64,7 +64,46 @@ def test_nearest(spark, monkeypatch):
     assert len(few) == 2
 
 
+def test_nearest_of_repeats_and_ties(spark):
+    # copies, the same row many times, multiples of two, one id with two vectors, and a query whose copies crowd its list
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((40, 8))
+    m[10:18], m[20], m[21] = m[0], 2 * m[1], 0.5 * m[1]
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(1, m[1].tolist())] * 8 + [(5, m[6].tolist()), (100, m[0].tolist()), (101, [0.0] * 8), (None, m[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (2048, 6):
+        V.INDEX_BLOCK, kept = block, V.INDEX_BLOCK
+        got = V.nearest(df, V.F.col("id") % 4 == 0, 5, certainty=0.999999).collect()
+        V.INDEX_BLOCK = kept
+        vectors = {}
+        for i, v in rows:
+            if i is not None and any(v):
+                vectors.setdefault(i, set()).add(tuple(v))
+        score = lambda x, y: max(V.cosine_of(np.array(a), np.array(b)) for a in vectors[x] for b in vectors[y])
+        for q in (i for i in vectors if i % 4 == 0):
+            want = sorted((-score(q, j), j) for j in vectors if j != q)[:5]
+            own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+            assert [(k + 1, j, -s) for k, (s, j) in enumerate(want)] == own, (q, block)
+
+
+def test_search_stops_early():
+    # near ones first: most of the tree is never verified
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 64))
+    m = np.repeat(centres, 50, axis=0) + 0.05 * rng.standard_normal((2000, 64))
+    tree = V.ProjectedTree(m, [[i] for i in range(2000)])
+    best = tree.search(m[0], 6, V.quantile(V.CERTAINTY, V.PROJECTED))
+    assert tree.verified <= 300 and best[0][1] == 0 and {i for _, i in best} <= set(range(50))
+
+
+def test_links_of_repeats(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in V.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
 def test_chi_square():
     rng = np.random.default_rng(0)
     x = (rng.standard_normal((100_000, 8)) ** 2).sum(axis=1)
     assert abs((x <= 10).mean() - V.chi_square(10, 8)) < 0.01
+    assert abs(V.chi_square(V.quantile(0.9, 16), 16) - 0.9) < 1e-9

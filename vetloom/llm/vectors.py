@@ -1,14 +1,13 @@
 """Vectors: reading, pivot range joins by cosine, and nearest neighbours through stable projections.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part in links
-or searches; neither do those whose length isn't the most common one (the greater on ties). Repeated
-rows and ids are compared like any others; extra columns are ignored, whatever their names; an
-empty table gives an empty table.
+or searches; neither do those whose length isn't the most common one (the greater on ties). In links,
+repeated rows and ids are compared like any others; in searches, repeated rows are one, and rows of one
+id are one candidate. Extra columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -193,10 +192,12 @@ def near_links(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_c
 
 # --- nearest neighbours ---------------------------------------------------------------------
 
-PROJECTED = 8
-#: Chance that a nearer vector of a block was met before the search of the block ends.
-CERTAINTY = 0.98
-LEAF = 64
+PROJECTED = 16
+#: Chance that a nearer vector was met before its search ends, as the chi-square test has it.
+CERTAINTY = 0.95
+LEAF, VERIFIED = 64, 128
+#: Rows that cells are made from, and most cells; rows of a block, and queries that meet it at once.
+SAMPLE, CELLS = 16_384, 1024
 INDEX_BLOCK, QUERY_CHUNK = 2048, 1024
 
 
@@ -209,96 +210,218 @@ def chi_square(x: float, m: int) -> float:
     return 1 - total
 
 
-class ProjectedTree:
-    """A kd-tree over Gaussian, hence 2-stable, projections of unit vectors."""
-
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, m: int = PROJECTED, seed: int = 7):
-        self.raw, self.ids, self.m = vectors, ids, m
-        self.norm = np.sqrt((vectors * vectors).sum(axis=1))
-        self.gauss = np.random.default_rng(seed).standard_normal((vectors.shape[1], m))
-        self.points = (vectors / self.norm[:, None]) @ self.gauss
-        self.nodes: list[tuple] = []
-        self._build(np.arange(len(ids)))
-
-    def _build(self, at: np.ndarray) -> int:
-        p = self.points[at]
-        low, high = p.min(axis=0), p.max(axis=0)
+def quantile(p: float, m: int) -> float:
+    """Where chi_square() reaches p."""
+    low, high = 0.0, 100.0 * m
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if chi_square(x, m) < p else (low, x)
+    return high
+
+
+def gauss(length: int, m: int = PROJECTED, seed: int = 7) -> np.ndarray:
+    """Gaussian, hence 2-stable, projections: of unit vectors at distance d, a squared projected distance is d^2 times a chi-square variable."""
+    return np.random.default_rng(seed).standard_normal((length, m))
+
+
+def cosine_of(a: np.ndarray, b: np.ndarray) -> float:
+    """The cosine by sums without rounding, the same wherever and in whatever order it is taken."""
+    a, b = a / np.abs(a).max(), b / np.abs(b).max()  # so that no square overflows
+    return math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
+
+
+class Regions:
+    """A kd-tree's cells of all projected space, so that any point has one; made from a sample."""
+
+    def __init__(self, points: np.ndarray, cells: int):
+        self.nodes: list[tuple] = []  # axis, threshold, below, above; or the number of a cell
+        self.low: list[np.ndarray] = []
+        self.high: list[np.ndarray] = []
+        m = points.shape[1]
+        self._build(points, cells, np.full(m, -np.inf), np.full(m, np.inf))
+        self.low, self.high = np.array(self.low), np.array(self.high)
+
+    def _build(self, points: np.ndarray, cells: int, low: np.ndarray, high: np.ndarray) -> int:
         k = len(self.nodes)
-        self.nodes.append(None)
-        axis = int((high - low).argmax())
-        if len(at) <= LEAF or high[axis] == low[axis]:
-            self.nodes[k] = (low, high, at, None)
-        else:
-            order = at[np.argsort(p[:, axis], kind="stable")]
-            half = len(order) // 2
-            self.nodes[k] = (low, high, None, (self._build(order[:half]), self._build(order[half:])))
+        self.nodes.append(())
+        spread = np.ptp(points, axis=0) if len(points) else np.zeros(1)
+        axis = int(spread.argmax())
+        if cells < 2 or len(points) < 4 or spread[axis] == 0:
+            self.nodes[k] = (len(self.low),)
+            self.low.append(low)
+            self.high.append(high)
+            return k
+        at = float(np.median(points[:, axis]))
+        below = points[:, axis] < at
+        if not below.any():
+            at = float(points[points[:, axis] > at, axis].min())
+            below = points[:, axis] < at
+        to, start = high.copy(), low.copy()
+        to[axis] = start[axis] = at
+        self.nodes[k] = (axis, at, self._build(points[below], cells // 2, low, to), self._build(points[~below], cells - cells // 2, start, high))
         return k
 
-    def _gap(self, k: int, q: np.ndarray) -> float:
-        low, high, _, _ = self.nodes[k]
-        d = np.maximum(np.maximum(low - q, q - high), 0)
-        return float(d @ d)
+    def cell(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        out = np.zeros(len(points), np.int32)
+        stack = [(0, np.arange(len(points)))]
+        while stack:
+            k, own = stack.pop()
+            node = self.nodes[k]
+            if len(node) == 1:
+                out[own] = node[0]
+            else:
+                below = points[own, node[0]] < node[1]
+                stack += [(node[2], own[below]), (node[3], own[~below])]
+        return out
+
+    def gaps(self, point: np.ndarray) -> np.ndarray:
+        """The squared distance from the point to each cell."""
+        d = np.maximum(np.maximum(self.low - point, point - self.high), 0)
+        return (d * d).sum(axis=1)
 
-    def search(self, vector: np.ndarray, k: int, skip: int, certainty: float = CERTAINTY) -> list[tuple[float, int]]:
-        """(cosine, id) of the nearest found, nearest first, ties to the smaller id.
 
-        Parts of the tree are opened in the order of projected distance and their vectors verified.
-        A vector at true distance d has a squared projected distance of d^2 times a chi-square
-        variable, so once the test holds for the k-th best distance, all nearer ones are likely met.
+class ProjectedTree:
+    """A kd-tree over the projections of vectors, which is a list of the boxes of its leaves."""
+
+    def __init__(self, vectors: np.ndarray, ids: list, m: int = PROJECTED):
+        self.raw, self.ids = vectors, ids
+        self.unit = units(vectors)
+        self.points = self.unit @ gauss(vectors.shape[1], m)
+        self.verified = 0
+        self.leaves: list[np.ndarray] = []
+        stack = [np.arange(len(vectors))]
+        while stack:
+            at = stack.pop()
+            spread = np.ptp(self.points[at], axis=0)
+            axis = int(spread.argmax())
+            if len(at) <= LEAF or spread[axis] == 0:
+                self.leaves.append(at)
+            else:
+                order = at[np.argsort(self.points[at, axis], kind="stable")]
+                stack += [order[: len(order) // 2], order[len(order) // 2 :]]
+        self.low = np.array([self.points[at].min(axis=0) for at in self.leaves])
+        self.high = np.array([self.points[at].max(axis=0) for at in self.leaves])
+
+    def search(self, vector: np.ndarray, k: int, limit: float, worst: float = np.inf) -> list[tuple[float, int]]:
+        """(cosine, id) of the k nearest ids found, nearest first, ties to the smaller id; worst: a squared distance within which k are known.
+
+        Vectors are verified in the order of projected distance, from leaves in the order of their boxes. Once
+        the next one's squared distance is limit, a quantile of chi-square, times the k-th best's, the test holds
+        that all nearer ones were met with the quantile's chance.
         """
-        norm = math.sqrt(vector @ vector)
-        q = vector / norm @ self.gauss
-        best: list[tuple[float, int]] = []
-        heap = [(self._gap(0, q), 0)]
-        while heap:
-            gap, node = heapq.heappop(heap)
-            if len(best) == k:
-                worst = 2 - 2 * best[-1][0]
-                if worst <= 0 and gap > 0 or worst > 0 and chi_square(gap / worst, self.m) >= certainty:
+        unit = units(vector[None])[0]
+        q = unit @ gauss(len(vector), self.points.shape[1])
+        d = np.maximum(np.maximum(self.low - q, q - self.high), 0)
+        gap = (d * d).sum(axis=1)
+        order = np.argsort(gap, kind="stable")
+        gap = np.append(gap[order], np.inf)
+        best: list[tuple[float, int, int]] = []
+        least, met = -np.inf, 0
+        ready, away = np.zeros(0, np.int64), np.zeros(0)
+        while True:
+            bound = min(worst, 2 - 2 * least + SLACK) if least > -np.inf else worst
+            # leaves are opened until enough of what is ready lies before the next of them
+            while met < len(order) and (not len(away) or gap[met] <= away[min(VERIFIED, len(away)) - 1]):
+                if gap[met] > limit * bound:
                     break
-            _, _, at, children = self.nodes[node]
-            if at is None:
-                for c in children:
-                    heapq.heappush(heap, (self._gap(c, q), c))
-                continue
-            score = self.raw[at] @ vector / (self.norm[at] * norm)
-            ids = self.ids[at]
-            keep = ids != skip
+                at = np.concatenate([self.leaves[i] for i in order[met : met + 8]])
+                met = min(met + 8, len(order))
+                step = self.points[at] - q
+                ready, away = np.append(ready, at), np.append(away, (step * step).sum(axis=1))
+                by = np.argsort(away, kind="stable")
+                ready, away = ready[by], away[by]
+            n = min(VERIFIED, int(np.searchsorted(away, limit * bound, side="right")))
+            if not n:
+                break
+            at, ready, away = ready[:n], ready[n:], away[n:]
+            self.verified += n
+            near = self.unit[at] @ unit
+            for i in at[near >= least - SLACK]:
+                score = cosine_of(self.raw[i], vector)
+                best += [(-score, own, 0) for own in self.ids[i]]
+            best.sort()
+            seen: set[int] = set()
+            best = [x for x in best if not (x[1] in seen or seen.add(x[1]))][:k]
             if len(best) == k:
-                keep &= score >= best[-1][0]
-            best = sorted([*best, *((s, i) for s, i in zip(score[keep].tolist(), ids[keep].tolist()))], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+                least = -best[-1][0]
+        return [(-s, i) for s, i, _ in best]
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k nearest by cosine among all other rows.
+def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", certainty: float = CERTAINTY) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k nearest by cosine among all rows of other ids.
 
-    The index is dealt to trees of about INDEX_BLOCK rows and the queries to chunks; every chunk
-    meets every block, and each query's best of all blocks are ranked.
+    Rows of one id are one candidate, at its nearest vector; a query id of several vectors has what is
+    nearest to any. Equal vectors are indexed once, with their k + 1 least ids, as no other can be among the
+    nearest. The index is dealt to the cells of one kd-tree, large cells in blocks. A query is searched in
+    its own cell first; then in the cells that the chi-square test doesn't rule out at its k-th best distance.
     """
-    rows = materialise(usable_rows(df, id_col, vec_col)[0], "vectors")
-    asked = rows.where(is_query)
-    n, n_queries = rows.count(), asked.count()
-    blocks, chunks = max(1, -(-n // INDEX_BLOCK)), max(1, -(-n_queries // QUERY_CHUNK))
-    upto = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
-    index = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("chunk", upto(chunks)).withColumn("query", F.lit(False))
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("block", upto(blocks)).withColumn("query", F.lit(True))
+    rows, length = usable_rows(df, id_col, vec_col)
+    rows = materialise(rows.withColumn("h", F.xxhash64("vec")).withColumn("asks", F.coalesce(is_query, F.lit(False))).distinct(), "vectors")
+    place = F.row_number().over(Window.partitionBy("h", "vec").orderBy("id"))
+    few = rows.select("h", "vec", "id").withColumn("place", place).where(F.col("place") <= k + 1)
+    nodes = few.groupBy("h", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    asks = rows.where("asks").groupBy("h", "vec").agg(F.lit(True).alias("asked"))
+    nodes = nodes.join(asks, ["h", "vec"], "left").select(F.monotonically_increasing_id().alias("uid"), "h", "vec", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
+    nodes = materialise(nodes, "nodes")
+    n = nodes.count()
+    first = nodes.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vec").toPandas() if n else pd.DataFrame({"vec": []})
+    space = gauss(length)
+    regions = Regions(units(matrix(first["vec"])) @ space if n else np.zeros((0, PROJECTED)), max(1, min(CELLS, -(-n // INDEX_BLOCK))))
+    limit = quantile(certainty, PROJECTED)
+
+    def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(cell=regions.cell(units(matrix(pdf["vec"])) @ space))
+
+    placed = materialise(nodes.mapInPandas(celled, "uid long, h long, vec array<double>, ids array<long>, asked boolean, cell int"), "cells")
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / INDEX_BLOCK).alias("blocks"))  # a row a cell
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    index = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_q = pdf["query"].to_numpy()
+        is_q = pdf["worst"].notna().to_numpy()
         out = []
         if is_q.any() and not is_q.all():
             vectors = matrix(pdf["vec"])
-            vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-            ids = pdf["id"].to_numpy()
-            order = np.nonzero(~is_q)[0]
-            order = order[np.argsort(ids[order], kind="stable")]
-            tree = ProjectedTree(vectors[order], ids[order])
+            own = np.nonzero(~is_q)[0]
+            own = own[np.argsort(pdf["uid"].to_numpy()[own], kind="stable")]
+            tree = ProjectedTree(vectors[own], [list(x) for x in pdf["ids"].iloc[own]])
             for i in np.nonzero(is_q)[0]:
-                out += [(int(ids[i]), int(j), float(s)) for s, j in tree.search(vectors[i], k, int(ids[i]))]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    dealt = index.unionByName(asked).groupBy("block", "chunk").applyInPandas(search, "query_id long, vec_id long, score double")
-    by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = dealt.distinct().withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+                uid, worst = int(pdf["uid"].iat[i]), float(pdf["worst"].iat[i])
+                out += [(uid, j, s) for s, j in tree.search(vectors[i], k + 1, limit, worst)]
+        return pd.DataFrame(out, columns=["uid", "vec_id", "score"])
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """asked(uid, vec, cell, worst) against the blocks of their cells."""
+        asked = asked.join(F.broadcast(blocks), "cell").withColumn("block", upto("blocks"))
+        counts = asked.groupBy("cell", "block").agg(F.ceil(F.count("*") / QUERY_CHUNK).alias("chunks"))
+        asked = asked.join(counts, ["cell", "block"]).withColumn("chunk", F.pmod(F.xxhash64("uid"), "chunks"))
+        rows = index.join(counts, ["cell", "block"]).withColumn("chunk", upto("chunks"))
+        names = ["cell", "block", "chunk", "uid", "vec"]
+        both = rows.select(*names, "ids", F.lit(None).cast("double").alias("worst")).union(asked.select(*names, F.lit(None).cast("array<long>").alias("ids"), "worst"))
+        return both.groupBy("cell", "block", "chunk").applyInPandas(search, "uid long, vec_id long, score double")
+
+    asked = placed.where("asked")
+    home = materialise(searched(asked.select("uid", "vec", "cell", F.lit(float("inf")).alias("worst"))), "home")
+    best = F.row_number().over(Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id"))
+    kth = home.withColumn("place", best).where(F.col("place") == k + 1).select("uid", (2 - 2 * F.col("score") + SLACK).alias("worst"))
+    left = asked.join(kth, "uid", "left").select("uid", "vec", "cell", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for uid, vec, own, worst in zip(pdf["uid"], pdf["vec"], pdf["cell"], pdf["worst"]):
+                far = regions.gaps(units(np.asarray(vec, float)[None])[0] @ space) > limit * worst
+                cells = np.nonzero(~far)[0]
+                cells = cells[cells != own]
+                if len(cells):
+                    yield pd.DataFrame({"uid": uid, "vec": [vec] * len(cells), "cell": cells.astype(np.int32), "worst": worst})
+
+    found = home.union(searched(left.mapInPandas(others, "uid long, vec array<double>, cell int, worst double")))
+    # k + 1 ids of each vector that is asked for; then each id that asks leaves itself out
+    found = found.groupBy("uid", "vec_id").agg(F.max("score").alias("score")).withColumn("place", best).where(F.col("place") <= k + 1)
+    ids = rows.where("asks").select(F.col("id").alias("query_id"), "h", "vec").join(nodes.where("asked"), ["h", "vec"]).select("query_id", "uid")
+    answers = found.join(ids, "uid").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
