@@ -69,7 +69,7 @@ class Model:
         w = self.words.get(word)
         if w is None:
             w = sum(self.weights.get(f, 0.0) for f in features(word))
-            if len(self.words) > 500_000:
+            if len(self.words) > 200_000:
                 self.words.clear()
             self.words[word] = w
         return w
