@@ -15,6 +15,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch of rows on its way to Python, which the memory of both sides goes with.
+BATCH_BYTES = 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _folders: dict[str, str] = {}
@@ -39,7 +42,9 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers wherever they run."""
+    """Make this package importable in Python workers wherever they run, and send them rows in batches of BATCH_BYTES unless set otherwise."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
