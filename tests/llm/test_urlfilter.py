@@ -18,9 +18,8 @@ def plain(pages):
             host = host.translate(str.maketrans(U.UPPER, U.LOWER))
         rule = max((r for r in U.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), key=lambda r: len(r.text), default=None)
         parts = path.removeprefix("/").split("/")
-        parts = parts[: U.DEPTH] + (["/".join(parts[U.DEPTH :])] if len(parts) > U.DEPTH else [])
         rows.append([page_id, host, path, rule, tuple("*" if re.fullmatch(U.VARIABLE.strip("^$"), p) else p for p in parts), ""])
-    for level in range(U.DEPTH + 1):
+    for level in range(max(len(r[4]) for r in rows)):
         nodes = defaultdict(lambda: defaultdict(Counter))
         for _, host, _, rule, parts, template in rows:
             if level < len(parts):
@@ -58,6 +57,7 @@ def test_against_loops(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/1?x#y", "http://a.example.net/de/2", "http://example.com/de", "http://example.com/de/9.html", "ftp://xorg/fr/1", "x://org/fr/#", "http://h.com?q=/de/", "http://net", "http://net/" + "a/" * 500]
     urls += [f"http://m.example.com/{lang}/{i}" for i in range(30) for lang in ("de", "en", "fr")]
     urls += [f"http://w.example.org/{w}{c}/fr/" for w in "abcdef" for c in "ghijklmnop"]
+    urls += [f"http://deep.org/{'fr' if i % 2 else 'x'}/a/b/c/d/{'e' if i % 3 else i}/f/{i % 5}/g" for i in range(30)]
     urls += [f"http://q.net/{'en' if i % 3 else 'x' * (i % 7)}/a-{i}.html" for i in range(40)] + ["http://q.net"] * 3
     pages = [(i or None, u) for i, u in enumerate(urls)]
     df = spark.createDataFrame([(*p, "x", 1) for p in pages], SCHEMA)

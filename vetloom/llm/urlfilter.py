@@ -10,9 +10,10 @@ Urls that a rule fits are the labelled ones. A template without them has purity
 with back_off, as in the query, the purity of the nearest node on its way up to the host that holds
 some; 1/2 is then left to hosts without labelled urls.
 
-The tree is DEPTH levels deep; what follows is one more segment, whole. Urls are first summed by
-host and shape of path, so what the levels handle is one row a shape, however many urls a host
-has; each level is a sum by branch and a join, and no host meets in one task.
+The tree is as deep as paths of a host share templates: a node of one shape alone takes the rest of it
+as it is. Urls are first summed by host and shape of path, so what the levels handle is one row a
+shape, however many urls a host has; each level is a sum by branch and a join, and no host meets in one
+task. There is a round for each level, so a pair of very long paths that differ at their ends costs many.
 
 Defined results: null urls and urls without :// have an empty host and path, no rule, and are
 judged by the template of the empty host; rows that repeat are judged alike; a null page_id is
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from vetloom.session import materialise
 
-DEPTH = 4
 WIDE = 30
 SIMILAR = 2.0
 SMOOTHING = 1.0
@@ -78,19 +78,19 @@ def by_rules(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "p
     return rows.withColumn("rule", rule).withColumn("labelled", verdict)
 
 
-def shape(path: Column, depth: int = DEPTH) -> Column:
-    """The segments of a path with variable ones as wildcards; what lies beyond the depth is one segment."""
+def shape(path: Column) -> Column:
+    """The segments of a path, variable ones as wildcards."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    cut = F.concat(F.slice(parts, 1, depth), F.when(F.size(parts) > depth, F.array(F.concat_ws("/", F.slice(parts, F.lit(depth + 1), F.size(parts) - depth)))).otherwise(F.array()))
-    return F.transform(cut, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
+    return F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
 
 
-def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(counts: DataFrame) -> DataFrame:
     """host, shape, template of counts(host, shape array, n, good, bad), one row a shape."""
-    rows = materialise(counts.withColumn("template", F.lit("")), "shapes")
+    rows = materialise(counts.select("*", F.lit("").alias("template"), F.lit(True).alias("open")), "shapes")
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")]
-    for level in range(depth + 1):
-        here = rows.withColumn("part", F.get("shape", F.lit(level))).where("part IS NOT NULL")
+    level = 0
+    while rows.where("open").limit(1).count():
+        here = rows.withColumn("part", F.get("shape", F.lit(level))).where("open AND part IS NOT NULL")
         branches = here.groupBy("host", "template", "part").agg(*sums)
         nodes = branches.groupBy("host", "template").agg(
             F.count("*").alias("children"), F.sum("n").alias("node_n"), F.sum("good").alias("node_good"), F.sum("bad").alias("node_bad")
@@ -103,40 +103,47 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         label = F.when(rare | (F.col("part") == "*"), "*").when(alike & (F.col("children") > 1), "~").otherwise(F.col("part"))
         named = both.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("part").alias("p"), label.alias("label"))
         rows = rows.withColumn("part", F.get("shape", F.lit(level)))
-        rows = rows.join(named, (rows["host"] == named["h"]) & (rows["template"] == named["t"]) & (rows["part"] == named["p"]), "left").drop("h", "t", "p", "part")
-        rows = rows.withColumn("template", F.concat("template", F.when(F.col("label").isNotNull(), F.concat(F.lit("/"), "label")).otherwise(""))).drop("label")
-        rows = materialise(rows, "shapes")  # each level reads the one before three times
+        on = rows["open"] & (rows["host"] == named["h"]) & (rows["template"] == named["t"]) & (rows["part"] == named["p"])
+        rows = rows.join(named, on, "left").drop("h", "t", "p", "part")
+        rows = rows.withColumn("template", F.concat("template", F.when(F.col("label").isNotNull(), F.concat(F.lit("/"), "label")).otherwise("")))
+        level += 1
+        # shapes that end here are done, and so is one that is alone: its rest would be labelled as it is
+        more = F.col("label").isNotNull() & (F.size("shape") > level)
+        rows = materialise(rows.withColumn("open", F.col("open") & more).drop("label"), "shapes")  # read again three times
+        crowd = rows.where("open").groupBy("host", "template").agg((F.count("*") == 1).alias("alone"))
+        rows = rows.join(crowd, ["host", "template"], "left").withColumn("alone", F.col("open") & F.coalesce("alone", F.lit(False)))
+        rest = F.concat(F.lit("/"), F.concat_ws("/", F.slice("shape", F.lit(level + 1), F.size("shape"))))
+        rows = rows.withColumn("template", F.concat("template", F.when(F.col("alone"), rest).otherwise(""))).withColumn("open", F.col("open") & ~F.col("alone")).drop("alone")
+        rows = materialise(rows, "shapes")
     return rows
 
 
-def with_nodes(rows: DataFrame, depth: int) -> DataFrame:
+def with_nodes(rows: DataFrame) -> DataFrame:
     """rows with a row for each node on the way from the host, at level 0, to the template."""
-    # only the last label, below the depth, may have slashes in it
-    lowest = F.least(F.size(F.split("template", "/")) - 1, F.lit(depth))
-    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), lowest)))
+    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.size(F.split("template", "/")) - 1)))
     return rows.withColumn("node", F.expr("substring_index(template, '/', level + 1)"))
 
 
-def backed_off(own: DataFrame, depth: int) -> DataFrame:
+def backed_off(own: DataFrame) -> DataFrame:
     """own(host, template, good, bad), where templates without labelled urls have the sums of the nearest node with some."""
     own = materialise(own, "templates")
     known = own.where("good + bad > 0")
-    nodes = with_nodes(known, depth).groupBy("host", "node").agg(F.sum("good").alias("node_good"), F.sum("bad").alias("node_bad"))
-    near = with_nodes(own.where("good + bad = 0").select("host", "template"), depth).join(nodes, ["host", "node"])
+    nodes = with_nodes(known).groupBy("host", "node").agg(F.sum("good").alias("node_good"), F.sum("bad").alias("node_bad"))
+    near = with_nodes(own.where("good + bad = 0").select("host", "template")).join(nodes, ["host", "node"])
     near = near.groupBy("host", "template").agg(F.max_by(F.struct("node_good", "node_bad"), "level").alias("near"))
     rows = own.join(near, ["host", "template"], "left")
     return rows.select("host", "template", *[F.coalesce(f"near.node_{c}", c).alias(c) for c in ("good", "bad")])
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH, back_off: bool = False) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", back_off: bool = False) -> DataFrame:
     """id, host, path, rule, verdict, template and its smoothed purity for every row of pages."""
-    rows = by_rules(pages, rules, id_col, url_col).withColumn("shape", shape(F.col("path"), depth))
+    rows = by_rules(pages, rules, id_col, url_col).withColumn("shape", shape(F.col("path")))
     good, bad = (F.count_if(F.col("labelled") == v) for v in ("allow", "block"))
     counts = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
-    found = templates(counts, depth)
+    found = templates(counts)
     own = found.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     if back_off:
-        own = backed_off(own, depth)
+        own = backed_off(own)
     purity = (F.col("good") + SMOOTHING) / (F.col("good") + F.col("bad") + 2 * SMOOTHING)
     own = own.select(F.col("host").alias("h"), F.col("template").alias("t"), purity.alias("purity"))
     found = found.join(own, (found["host"] == own["h"]) & (found["template"] == own["t"])).select("h", F.col("shape").alias("s"), "template", "purity")
