@@ -10,16 +10,30 @@ from vetloom.functions.lexicons import TOP_K
 from vetloom.functions.parsing import entity_hint, predicate_hint
 from vetloom.operators.triples import entities, mentions
 
+#: Queries up to which those without a predicate are broadcast.
+MOST_HINTS = 10_000
 NO_MATCH = "I don't have information on that."
 
 
 def found_entities(questions: DataFrame, triples: DataFrame) -> DataFrame:
-    """(qid, entity): the entities that lie in a question as substrings, inside words too.
+    """(qid, entity): the entities that lie in a question as substrings, inside words too."""
+    return lying_in(questions.select("qid", F.lower("question").alias("q")), entities(triples), "entity")
 
-    The questions are the small side; Spark broadcasts them where their size allows.
+
+def lying_in(questions: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """(qid, name): the distinct names that lie in questions(qid, q) as substrings.
+
+    Each question's substrings of the lengths that occur among the names are joined with equal ones, so no
+    question meets every name, whichever side is large.
     """
-    q = questions.select("qid", F.lower("question").alias("q"))
-    return entities(triples).join(q, F.contains("q", "entity")).select("qid", "entity")
+    lengths = names.select(F.length(name).alias("n")).where("n IS NOT NULL").distinct()
+    # lengths are few, at most as many as a question has characters
+    longest = questions.agg(F.max(F.length("q"))).first()[0] or 0
+    found = sorted(r.n for r in lengths.where(F.col("n") <= longest).collect())
+    rows = questions.withColumn("n", F.explode(F.array(*[F.lit(n) for n in found]).cast("array<int>"))).where(F.length("q") >= F.col("n"))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1)))
+    parts = rows.select("qid", F.substr("q", F.col("at"), F.col("n")).alias(name)).distinct()
+    return parts.join(names.select(name).distinct(), name).select("qid", name)
 
 
 def _top(rows: DataFrame, *order: Column, k: int) -> DataFrame:
@@ -38,7 +52,7 @@ def by_concepts(questions: DataFrame, triples: DataFrame, k: int = TOP_K) -> Dat
     score = F.size(F.filter("found", lambda e: F.contains(s, e) | F.contains(o, e))).cast("long")
     best = _top(rows.withColumn("score", score), F.col("score").desc(), F.col("pos"), k=k).withColumn("match_type", F.lit("entity"))
     left = questions.join(listed, "qid", "left_anti").select("qid", F.lower("question").alias("q"))
-    names = triples.select(F.lower("predicate").alias("p")).distinct().join(left, F.contains("q", "p")).select("qid", "p")
+    names = lying_in(left, triples.select(F.lower("predicate").alias("p")), "p")
     weak = triples.withColumn("p", F.lower("predicate")).join(names, "p")
     weak = _top(weak.withColumn("score", F.lit(0).cast("long")), F.col("pos"), k=k).withColumn("match_type", F.lit("predicate"))
     names_out = ["qid", "match_type", "score", "rank", "pos", "subject", "predicate", "object"]
@@ -47,10 +61,14 @@ def by_concepts(questions: DataFrame, triples: DataFrame, k: int = TOP_K) -> Dat
 
 def by_hints(queries: DataFrame, triples: DataFrame, k: int = TOP_K) -> DataFrame:
     """qid, rank and the triples that fit the hints of queries(qid, generated_query); an absent hint restricts nothing."""
+    few = queries.limit(MOST_HINTS + 1).count() <= MOST_HINTS
     hints = queries.where("generated_query <> ''").select("qid", entity_hint(F.col("generated_query")).alias("e"), predicate_hint(F.col("generated_query")).alias("p"))
     s, o = F.lower("subject"), F.lower("object")
-    fits = (F.col("e").isNull() | F.contains(s, "e") | F.contains(o, "e")) & (F.col("p").isNull() | (F.col("predicate") == F.col("p")))
-    return _top(triples.join(hints, fits), F.col("pos"), k=k).select("qid", "rank", "pos", "subject", "predicate", "object")
+    fits = F.col("e").isNull() | F.contains(s, "e") | F.contains(o, "e")
+    # hints with a predicate meet its triples alone; the few others, of queries one by one, meet all
+    told = triples.join(hints.where("p IS NOT NULL"), F.col("predicate") == F.col("p")).where(fits)
+    free = triples.join(F.broadcast(hints.where("p IS NULL")) if few else hints.where("p IS NULL"), fits)
+    return _top(told.union(free), F.col("pos"), k=k).select("qid", "rank", "pos", "subject", "predicate", "object")
 
 
 def compared(questions: DataFrame, concept: DataFrame, hinted: DataFrame, found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vetloom.functions import lexicons as L
+from vetloom.functions.chunking import strip
 from vetloom.functions.parsing import clean_relation
 
 EXPORT = ["extraction_number", "paper", "subject", "predicate", "object", "source_section", "confidence", "passage", "sentence_ref"]
@@ -16,7 +17,7 @@ EXPORT = ["extraction_number", "paper", "subject", "predicate", "object", "sourc
 
 def load(raw: DataFrame) -> DataFrame:
     """Stripped triples with defaults, complete ones only."""
-    parts = [F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("subject", "predicate", "object", "sentence_ref")]
+    parts = [strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("subject", "predicate", "object", "sentence_ref")]
     rows = raw.select("pos", *parts, F.coalesce("source_section", F.lit("Unknown")).alias("source_section"), F.coalesce("confidence", F.lit("Medium")).alias("confidence"))
     return rows.where("subject <> '' AND predicate <> '' AND object <> ''")
 
@@ -32,23 +33,27 @@ def enrich(triples: DataFrame, meta: DataFrame, key: str = "doc_id") -> DataFram
 
 
 def _first_place(triples: DataFrame, key: list[Column], best: list[Column], pos: str) -> DataFrame:
-    """The best triple of each key at the place of the key's first."""
+    """The triple of each key with the least of best, at the place of the key's first; keys with a null go.
+
+    Both are sums that are made before rows are moved, so a key that very many rows share costs no task more.
+    """
     names = [f"k{i}" for i in range(len(key))]
-    rows = triples.select("*", *[k.alias(n) for k, n in zip(key, names)])
-    own = Window.partitionBy(*names)
-    rows = rows.withColumn("rank_", F.row_number().over(own.orderBy(*best, pos))).withColumn("first_", F.min(pos).over(own))
-    return rows.where("rank_ = 1").drop("rank_", pos, *names).withColumnRenamed("first_", pos)
+    others = [c for c in triples.columns if c != pos]
+    rows = triples.select(*[k.alias(n) for k, n in zip(key, names)], F.col(pos).alias("at_"), F.struct(*best, F.col(pos)).alias("by_"), F.struct(*others).alias("row_"))
+    rows = rows.where(" AND ".join(f"{n} IS NOT NULL" for n in names))
+    kept = rows.groupBy(*names).agg(F.min("at_").alias(pos), F.min_by("row_", "by_").alias("row_"))
+    return kept.select(*[F.col(pos) if c == pos else F.col(f"row_.{c}") for c in triples.columns])
 
 
 def prefer_high(triples: DataFrame, pos: str = "pos") -> DataFrame:
-    """One triple for each subject, predicate and object (lower-cased, stripped): the first of high confidence, else the first."""
-    key = [F.lower(F.trim(F.col(c))) for c in ("subject", "predicate", "object")]
-    return _first_place(triples, key, [(F.col("confidence") == "High").desc()], pos)
+    """One triple for each subject, predicate and object (stripped, lower-cased): the first of high confidence, else the first."""
+    key = [F.lower(strip(F.col(c))) for c in ("subject", "predicate", "object")]
+    return _first_place(triples, key, [~F.col("confidence").eqNullSafe("High")], pos)
 
 
 def longest_reference(triples: DataFrame, pos: str = "pos") -> DataFrame:
     """One triple for each lower-cased subject, verbatim predicate and lower-cased object: that of the longest reference."""
-    return _first_place(triples, [F.lower("subject"), F.col("predicate"), F.lower("object")], [F.length("sentence_ref").desc()], pos)
+    return _first_place(triples, [F.lower("subject"), F.col("predicate"), F.lower("object")], [-F.coalesce(F.length("sentence_ref"), F.lit(0))], pos)
 
 
 def numbered(triples: DataFrame, paper: str = "paper", pos: str = "pos") -> DataFrame:

@@ -107,23 +107,28 @@ def scoreboard(docs: DataFrame, replies: DataFrame, meta: DataFrame | None = Non
     by_name = model_criteria(replies)
     scored = by_name.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("score", "flags", "hard_fail_triggered")))).alias("model"))
     answered = parsed_criteria(replies).select("doc_id").distinct().withColumn("answered", F.lit(True))
-    rows = docs.select("doc_id", "text", T.normalise(F.col("text")).alias("norm"))
-    blank = F.lit("")
+    rows = docs.select("doc_id", "text").withColumn("norm", T.normalise(F.col("text"))).withColumn("split", T.lines(F.col("text")))
+    rows = with_evidence(rows)
+    text, norm, split = (F.col(c) for c in ("text", "norm", "split"))
+    flags = F.struct(*[c.alias(n) for c, n in zip(red_flags(norm), ("score", "triggered", "found"))])
+    # what the texts say, in few bytes; no text is moved
+    rows = rows.select(
+        "doc_id", "data", "experience", flags.alias("red"), T.any_of(norm, L.DOMAIN_KEYWORDS).alias("relevant"),
+        (T.has_reference_section(text, norm, split) & T.all_of(norm, L.STRUCTURE_WORDS)).alias("structure"), community_override(norm).alias("community"), ethics_override(norm).alias("ethics"),
+        T.inferred_title(text, split=split).alias("own_title"), T.first_year(text).alias("own_year"), T.author_candidates(text, most=3, split=split).alias("own_authors"),
+    )
+    title, year, authors = F.col("own_title"), F.col("own_year"), F.col("own_authors")
+    journal = doi = F.lit("")
     if meta is not None:
         rows = rows.join(meta, "doc_id", "left")
-        title, year = T.first_present(F.col("title"), T.inferred_title(F.col("text"))), T.first_present(F.col("year"), T.first_year(F.col("text")))
-        authors = F.when(F.size("authors") > 0, F.col("authors")).otherwise(T.author_candidates(F.col("text"), most=3))
+        title, year = T.first_present(F.col("title"), title), T.first_present(F.col("year"), year)
+        authors = F.when(F.size("authors") > 0, F.col("authors")).otherwise(authors)
         journal, doi = F.col("journal"), F.col("doi")
-    else:
-        title, year, authors = T.inferred_title(F.col("text")), T.first_year(F.col("text")), T.author_candidates(F.col("text"), most=3)
-        journal = doi = blank
-    norm = F.col("norm")
-    rows = with_evidence(rows)
     rows = rows.join(answered, "doc_id", "left").join(scored, "doc_id", "left")
     overrides = {
-        "Structural Completeness": (structure_override(F.col("text"), norm), F.lit(20)),
-        "Authorship & Community Alignment (IKAT)": (community_override(norm), F.lit(18)),
-        "Ethical Source Handling & Consent": (ethics_override(norm), F.lit(8)),
+        "Structural Completeness": (F.col("structure"), F.lit(20)),
+        "Authorship & Community Alignment (IKAT)": (F.col("community"), F.lit(18)),
+        "Ethical Source Handling & Consent": (F.col("ethics"), F.lit(8)),
     }
     out = []
     for name, most, hard in L.MODEL_CRITERIA:
@@ -142,13 +147,12 @@ def scoreboard(docs: DataFrame, replies: DataFrame, meta: DataFrame | None = Non
     empty = F.array().cast("array<string>")
     m_score, m_passed, _, missing = metadata(title, authors, year, journal, doi)
     out.append(_criterion(L.CODE_CRITERIA[0], m_score, 10, m_passed, False, no, "code", F.transform(missing, lambda x: F.concat(F.lit("Missing: "), x))))
-    r_score, triggered, found = red_flags(norm)
+    r_score, triggered, found = (F.col(f"red.{c}") for c in ("score", "triggered", "found"))
     out.append(_criterion(L.CODE_CRITERIA[1], r_score, 5, ~triggered, True, triggered, "code", F.transform(found, lambda x: F.concat(F.lit("Red flag: '"), x, F.lit("'")))))
     e_score = experience_score(verdict(F.col("data"), F.col("experience")))
     first = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(F.slice(F.array_sort(c), 1, 8), ", ")))
     out.append(_criterion(L.CODE_CRITERIA[2], e_score, 5, F.lit(True), False, no, "code", F.array_compact(F.array(first("Experience signals: ", F.col("experience")), first("Data-driven signals: ", F.col("data"))))))
-    relevant = T.any_of(norm, L.DOMAIN_KEYWORDS)
-    out.append(_criterion(L.CODE_CRITERIA[3], F.lit(0), 0, F.lit(True), False, no, "code", F.when(relevant, empty).otherwise(F.array(F.lit("No configured domain keywords found")))))
+    out.append(_criterion(L.CODE_CRITERIA[3], F.lit(0), 0, F.lit(True), False, no, "code", F.when(F.col("relevant"), empty).otherwise(F.array(F.lit("No configured domain keywords found")))))
     rows = rows.select("doc_id", F.array(*out).alias("criteria"))
     return totals(rows)
 

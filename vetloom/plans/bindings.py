@@ -32,8 +32,8 @@ AUTHORED = """SELECT doc_id, concat('Some heading', chr(10), CASE doc_id % 5 WHE
 WHEN 1 THEN '** by: alba  rivas cortez *' WHEN 2 THEN 'author Prof John Smith' WHEN 3 THEN 'no names' ELSE 'authors: alba and cortez' END,
 chr(10), 'Corresponding author: Dr. Jane Quinn Doe', chr(10), text) AS text FROM documents"""
 
-MARKED = """SELECT doc_id, concat('front matter', chr(10), '===== Page 1 =====', chr(10), substr(text, 1, 400), chr(10), '===== Page 3 =====', chr(10),
-CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE substr(text, 401) END) AS text FROM documents"""
+MARKED = """SELECT doc_id, concat('front matter', chr(10), '===== Page 1 =====', chr(10), substr(text, 1, 400), chr(10), '===== Page 2 =====', chr(10), '  ', '===== Page 3 =====', chr(10),
+substr(text, 401)) AS text FROM documents"""
 
 PAGES = "SELECT doc_id, doc_id % 7 + 1 AS page_num, text AS content FROM documents"
 
@@ -42,7 +42,7 @@ UNION ALL SELECT 1000000 + c_custkey, c_name, 'lives_in', n_name, concat('c', c_
 UNION ALL SELECT 2000000000 + s_suppkey, s_name, 'BASED_IN', n_name, '' FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT 3000000000 + p_partkey, p_name, 'HAS_BRAND', p_brand, concat('p', p_partkey) FROM part"""
 
-RAW_TRIPLES = """SELECT c_custkey AS pos, concat(' ', c_name, ' ') AS subject, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE 'lives_in' END AS predicate,
+RAW_TRIPLES = """SELECT c_custkey AS pos, concat(' ', chr(9), c_name, chr(10), ' ') AS subject, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE 'lives_in' END AS predicate,
 CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE n_name END AS object, CASE WHEN c_custkey % 2 = 0 THEN ' a line ' END AS sentence_ref,
 CASE WHEN c_custkey % 3 = 0 THEN 'Page 3' END AS source_section, CASE WHEN c_custkey % 5 = 0 THEN 'High' END AS confidence
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
@@ -53,7 +53,7 @@ CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN 'a JOURNAL of note' WHEN 1 THEN 'the
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 DUPLICATES = """SELECT CAST(event_id AS BIGINT) AS pos, concat(CASE WHEN event_id % 2 = 0 THEN 'User ' ELSE 'user ' END, user_id % 40) AS subject, event_type AS predicate,
-concat('Thing', event_id % 3, CASE WHEN event_id % 4 = 0 THEN ' ' ELSE '' END) AS object, CASE WHEN event_id % 9 = 8 THEN 'High' ELSE 'Low' END AS confidence,
+concat('Thing', event_id % 3, CASE WHEN event_id % 4 = 0 THEN ' ' WHEN event_id % 4 = 1 THEN chr(9) ELSE '' END) AS object, CASE WHEN event_id % 9 = 8 THEN 'High' ELSE 'Low' END AS confidence,
 substr('abcdefghijklmnop', 1, CAST(event_id % 16 AS INT)) AS sentence_ref FROM events"""
 
 LINES = """SELECT c_custkey, CAST(c_custkey % 9 AS BIGINT) AS page_num, concat('Sure, [thinking] here: (', c_name, ')', CASE CAST(c_custkey % 5 AS INT)

@@ -23,6 +23,10 @@ def hits(words, column="norm") -> str:
     return f"list_filter({strings(words)}, lambda p: contains({column}, p))"
 
 
+def _strip(column: str) -> str:
+    return f"regexp_replace({column}, '^\\s+|\\s+$', '', 'g')"
+
+
 def some(words, column="norm") -> str:
     return f"(len({hits(words, column)}) > 0)"
 
@@ -150,7 +154,7 @@ def chars(size: int, overlap: int, pages: str = B.PAGES) -> str:
 SELECT doc_id, CAST(page_num AS BIGINT) AS page_num, CAST(st // {size - overlap} AS BIGINT) AS chunk_idx, {_STRIP.format(f"substr(content, st + 1, {size})")} AS chunk FROM s"""
 
 
-PAGE_ROWS = f"""SELECT doc_id, unnest([1, 3])::BIGINT AS page_num, unnest(list_slice(string_split_regex(text, '===== Page \\d+ =====\\n'), 2, 3)) AS content FROM ({B.MARKED})"""
+PAGE_ROWS = f"""SELECT doc_id, unnest([1, 2, 3])::BIGINT AS page_num, unnest(list_slice(string_split_regex(text, '===== Page \\d+ =====\\n'), 2, 4)) AS content FROM ({B.MARKED})"""
 
 WORDS = f"""w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
 c AS (SELECT doc_id, ws, unnest(range(0, len(ws), {L.WORD_CHUNK - L.WORD_OVERLAP})) AS st FROM w),
@@ -184,15 +188,15 @@ ORACLE: dict[str, str] = {
     "unknown_rate": f"WITH {BLOCK_TRIPLES} SELECT count(*) AS triples, count_if(subject = 'UNKNOWN')::BIGINT AS unknown, count_if(subject = 'UNKNOWN') / count(*) AS rate FROM blocks",
     "known_triples": f"WITH {BLOCK_TRIPLES} SELECT s_suppkey, block_no, subject, predicate, object FROM blocks WHERE subject <> 'UNKNOWN'",
     "extraction_stats": f"WITH {LINE_TRIPLES} SELECT count(*) AS raw_triples, count(DISTINCT (lower(subject), predicate, lower(object))) AS unique_triples FROM lines",
-    "dedupe_prefer_high": f"""WITH d AS ({B.DUPLICATES}), k AS (SELECT *, lower(trim(subject)) AS a, lower(trim(predicate)) AS b, lower(trim(object)) AS c FROM d),
+    "dedupe_prefer_high": f"""WITH d AS ({B.DUPLICATES}), k AS (SELECT *, lower({_strip('subject')}) AS a, lower({_strip('predicate')}) AS b, lower({_strip('object')}) AS c FROM d),
 f AS (SELECT a, b, c, min(pos) AS pos, coalesce(min(CASE WHEN confidence = 'High' THEN pos END), min(pos)) AS best FROM k GROUP BY a, b, c)
 SELECT f.pos, subject, predicate, object, confidence, sentence_ref FROM f JOIN d ON d.pos = f.best""",
     "dedupe_longest_ref": f"""WITH d AS ({B.DUPLICATES}), f AS (SELECT min(pos) AS pos, arg_min(pos, (-length(sentence_ref), pos)) AS best FROM d GROUP BY lower(subject), predicate, lower(object))
 SELECT f.pos, subject, predicate, object, confidence, sentence_ref FROM f JOIN d ON d.pos = f.best""",
     "export_numbering": f"""WITH {LINE_TRIPLES}, p AS (SELECT *, 'paper' || (c_custkey % 7) AS paper FROM lines)
 SELECT (SELECT count(*) FROM p o WHERE o.paper = p.paper AND (o.c_custkey, o.line_no) <= (p.c_custkey, p.line_no)) AS extraction_number, paper, subject, predicate, object, source_section, confidence, passage, sentence_ref FROM p""",
-    "load_triples": f"""SELECT pos, trim(subject) AS subject, trim(predicate) AS predicate, trim(object) AS object, coalesce(trim(sentence_ref), '') AS sentence_ref, coalesce(source_section, 'Unknown') AS source_section,
-coalesce(confidence, 'Medium') AS confidence FROM ({B.RAW_TRIPLES}) WHERE trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> ''""",
+    "load_triples": f"""SELECT pos, {_strip('subject')} AS subject, {_strip('predicate')} AS predicate, {_strip('object')} AS object, coalesce({_strip('sentence_ref')}, '') AS sentence_ref, coalesce(source_section, 'Unknown') AS source_section,
+coalesce(confidence, 'Medium') AS confidence FROM ({B.RAW_TRIPLES}) WHERE {_strip('subject')} <> '' AND {_strip('predicate')} <> '' AND {_strip('object')} <> ''""",
     "enriched_triples": "SELECT n_nationkey AS doc_id, c_name AS subject, 'lives' AS predicate, c_mktsegment AS object, n_name AS source_title, n_regionkey::VARCHAR AS source_publication FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "audit_clean": f"""WITH a AS ({B.AUDITED}) SELECT DISTINCT subject, CASE predicate {_NAMES} ELSE predicate END AS predicate, object FROM a
 WHERE coalesce(subject, 'nan') NOT IN {audit_list(L.AUDIT_SUBJECTS)} AND coalesce(subject, 'nan') NOT IN {audit_list(L.AUDIT_NON_CORE_SUBJECTS)} AND predicate NOT IN {audit_list(L.AUDIT_PREDICATES)}
