@@ -8,6 +8,7 @@ id are one candidate. Extra columns are ignored, whatever their names; an empty
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -195,7 +196,8 @@ def near_links(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_c
 PROJECTED = 16
 #: Chance that a nearer vector was met before its search ends, as the chi-square test has it.
 CERTAINTY = 0.95
-LEAF, VERIFIED = 64, 128
+#: Points of a leaf; leaves opened and points verified at once.
+LEAF, OPENED, VERIFIED = 64, 32, 512
 #: Rows that cells are made from, and most cells; rows of a block, and queries that meet it at once.
 SAMPLE, CELLS = 16_384, 1024
 INDEX_BLOCK, QUERY_CHUNK = 2048, 1024
@@ -219,6 +221,7 @@ def quantile(p: float, m: int) -> float:
     return high
 
 
+@functools.cache
 def gauss(length: int, m: int = PROJECTED, seed: int = 7) -> np.ndarray:
     """Gaussian, hence 2-stable, projections: of unit vectors at distance d, a squared projected distance is d^2 times a chi-square variable."""
     return np.random.default_rng(seed).standard_normal((length, m))
@@ -313,39 +316,42 @@ class ProjectedTree:
         unit = units(vector[None])[0]
         q = unit @ gauss(len(vector), self.points.shape[1])
         d = np.maximum(np.maximum(self.low - q, q - self.high), 0)
-        gap = (d * d).sum(axis=1)
+        gap = np.einsum("ij,ij->i", d, d)
         order = np.argsort(gap, kind="stable")
         gap = np.append(gap[order], np.inf)
-        best: list[tuple[float, int, int]] = []
-        least, met = -np.inf, 0
-        ready, away = np.zeros(0, np.int64), np.zeros(0)
+        best: list[tuple[float, int]] = []
+        least = 1 - worst / 2 - SLACK  # of the cosine
+        met, ready, away = 0, np.zeros(0, np.int64), np.zeros(0)
         while True:
-            bound = min(worst, 2 - 2 * least + SLACK) if least > -np.inf else worst
-            # leaves are opened until enough of what is ready lies before the next of them
-            while met < len(order) and (not len(away) or gap[met] <= away[min(VERIFIED, len(away)) - 1]):
-                if gap[met] > limit * bound:
-                    break
-                at = np.concatenate([self.leaves[i] for i in order[met : met + 8]])
-                met = min(met + 8, len(order))
+            reach = limit * min(worst, 2 - 2 * least + SLACK)
+            if met < len(order) and gap[met] <= reach:
+                at = np.concatenate([self.leaves[i] for i in order[met : met + OPENED]])
+                met = min(met + OPENED, len(order))
                 step = self.points[at] - q
-                ready, away = np.append(ready, at), np.append(away, (step * step).sum(axis=1))
+                ready, away = np.append(ready, at), np.append(away, np.einsum("ij,ij->i", step, step))
                 by = np.argsort(away, kind="stable")
                 ready, away = ready[by], away[by]
-            n = min(VERIFIED, int(np.searchsorted(away, limit * bound, side="right")))
+            # what lies before the next leaf, as far as the test lets it
+            n = min(VERIFIED, int(np.searchsorted(away, min(gap[met], reach), side="right")))
             if not n:
+                if met < len(order) and gap[met] <= reach:
+                    continue
                 break
             at, ready, away = ready[:n], ready[n:], away[n:]
             self.verified += n
             near = self.unit[at] @ unit
-            for i in at[near >= least - SLACK]:
-                score = cosine_of(self.raw[i], vector)
-                best += [(-score, own, 0) for own in self.ids[i]]
+            # of the first ones, the best are enough, even if some ids have several vectors
+            floor = float(np.partition(near, n - 4 * k)[n - 4 * k]) if not best and n > 4 * k else least
+            sure = near >= max(least, floor) - SLACK
+            if not sure.any():
+                continue
+            best += [(-score, own) for i in at[sure] for score in [cosine_of(self.raw[i], vector)] for own in self.ids[i]]
             best.sort()
             seen: set[int] = set()
             best = [x for x in best if not (x[1] in seen or seen.add(x[1]))][:k]
             if len(best) == k:
-                least = -best[-1][0]
-        return [(-s, i) for s, i, _ in best]
+                least = max(least, -best[-1][0])
+        return [(-s, i) for s, i in best]
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", certainty: float = CERTAINTY) -> DataFrame:
