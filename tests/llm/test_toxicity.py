@@ -51,3 +51,38 @@ def test_rows(spark):
     assert T.score(docs.limit(0), model).count() == 0
     none = T.learn(docs, own.limit(0), F.lit(True))
     assert {r.score for r in T.score(docs, none).collect()} <= {x for x in [0.0]} or max(r.score for r in T.score(docs, none).collect()) < 1e-9
+
+
+def test_likelihood_as_loops_and_its_slope():
+    texts, labels = corpus(60, 3)
+    texts[0] = texts[0] + " " + texts[0]  # sentences that repeat
+    y = np.array(labels)
+    seen = T.in_documents(texts, labels)
+    index = {f: i for i, f in enumerate(sorted(seen)[::7])}
+    docs = T.Coded([T.coded(t, index, {}) for t in texts])
+    theta = np.random.default_rng(0).normal(0, 0.5, len(index) + 2) - 0.5
+    value, slope = T.likelihood(theta, y, docs, 1e-3)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    want = 0.0
+    for t, label in zip(texts, labels):
+        clean = 1 - sigmoid(theta[-1])
+        for s in T.bags_of(t):
+            clean *= 1 - sigmoid(theta[-2] + sum(theta[index[f]] for w in s for f in T.features(w) if f in index))
+        want += np.log(1 - clean if label else clean)
+    assert abs(value - (want / len(y) - 5e-4 * (theta[:-2] ** 2).sum())) < 1e-9
+    for k in [0, 5, len(index) - 1, len(index), len(index) + 1]:
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        near = (T.likelihood(theta + step, y, docs, 1e-3)[0] - T.likelihood(theta - step, y, docs, 1e-3)[0]) / 2e-5
+        assert abs(near - slope[k]) < 1e-6
+
+
+def test_learnt_as_fitted_here(spark):
+    # what executors count and code gives the model of the same texts fitted at once; repeats teach once, a very long text doesn't
+    texts, labels = corpus(150, 5)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (500, "zonk " * 210_000), (None, "zonk")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = spark.createDataFrame([*enumerate(labels), (500, 1), (777, 1)], "doc_id long, toxic int")
+    model, plain = T.learn(docs, own, F.lit(True)), T.fit(texts, labels)
+    assert set(model.weights) == set(plain.weights)
+    assert all(abs(model.score(t) - plain.score(t)) < 1e-6 for t in texts)
