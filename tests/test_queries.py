@@ -36,5 +36,11 @@ def test_fallback_is_at_most_66(spark):
     assert rows and all(r.total_score <= 66 and r.flag == "Model unavailable" and r.outcome != "APPROVED" for r in rows)
 
 
+def test_every_outcome_occurs(spark):
+    rows = {r.outcome: r.documents for r in QUERIES["outcome_counts"](spark, SF).collect()}
+    assert set(rows) == {"REJECTED", "MANUAL_REVIEW", "APPROVED"}
+    assert QUERIES["pending_extraction"](spark, SF).count() > 1
+
+
 def test_endings_are_used():
     assert DOCS.count("WHEN") == 12

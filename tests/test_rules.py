@@ -36,6 +36,26 @@ def test_negation(spark):
     assert one(spark, test, t=None) is None
 
 
+VERDICTS = {
+    "In my experience of these villages, and from my own perspective, this is a personal reflection with anecdotal commentary.": "experience_report",
+    "Methodology. Semi-structured interviews with participants, a household survey and thematic analysis; data collection took weeks.": "data_driven",
+    "A personal reflection, in my opinion; this narrative account is anecdotal, but it has one questionnaire and no sampling.": "experience_leaning",
+    "A short note on festivals.": "undetermined",
+    "There was no methodology and no survey here.": "undetermined",
+}
+
+
+def test_verdicts(spark):
+    df = spark.createDataFrame([(t,) for t in VERDICTS], "t string").withColumn("norm", T.normalise(F.col("t")))
+    rows = V.with_evidence(df).select("t", V.verdict(F.col("data"), F.col("experience")).alias("v"))
+    assert {r.t: r.v for r in rows.collect()} == VERDICTS
+
+
+def test_stem(spark):
+    for path, name in (("a/b.c.pdf", "b.c"), ("x", "x"), ("a/.pdf", ".pdf"), ("a/b.", "b.")):
+        assert one(spark, V.stem(F.col("t")), t=path) == name
+
+
 def test_maximal(spark):
     rows = spark.createDataFrame([(["interview", "interviews", "survey", "in-depth interview"],)], "h array<string>")
     assert rows.select(T.maximal(F.col("h")).alias("m")).first().m == ["interviews", "survey", "in-depth interview"]

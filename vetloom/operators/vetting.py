@@ -11,14 +11,19 @@ from vetloom.functions import lexicons as L
 from vetloom.functions import text as T
 from vetloom.functions.parsing import criteria, rescaled
 
-CRITERION = "name string, score long, max_score long, passed boolean, hard_fail boolean, hard_fail_triggered boolean, evaluated_by string, flags array<string>"
+CRITERION = "name string, score long, max_score long, passed boolean, hard_fail boolean, hard_fail_triggered boolean, evaluated_by string, justification string, flags array<string>"
 
 
-def _criterion(name: str, score: Column, most: int, passed: Column, hard: bool, triggered: Column, by: str, flags: Column) -> Column:
-    parts = [F.lit(name), score.cast("long"), F.lit(most).cast("long"), passed, F.lit(hard), triggered, F.lit(by), flags]
+def _criterion(name: str, score: Column, most: int, passed: Column, hard: bool, triggered: Column, by: Column, why: Column, flags: Column) -> Column:
+    parts = [F.lit(name), score.cast("long"), F.lit(most).cast("long"), passed, F.lit(hard), triggered, by, F.coalesce(why, F.lit("")), flags]
     return F.struct(*[p.alias(f.split()[0]) for p, f in zip(parts, CRITERION.split(", "))])
 
 
+def quoted(items: Column) -> Column:
+    """A list of plain strings as a record shows it."""
+    mark = lambda x: F.when(F.contains(x, F.lit("'")), F.lit('"')).otherwise(F.lit("'"))
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(mark(x), x, mark(x))), ", "), F.lit("]"))
+
 
 def metadata(title: Column, authors: Column, year: Column, journal: Column, doi: Column) -> tuple[Column, Column, Column, Column]:
     """Score, passed, and the found and missing fields; '' and an empty list count as missing."""
@@ -99,13 +104,13 @@ def model_criteria(replies: DataFrame) -> DataFrame:
 
 
 def scoreboard(docs: DataFrame, replies: DataFrame, meta: DataFrame | None = None) -> DataFrame:
-    """doc_id, criteria, total_score, max_possible, score_pct, hard_fails and outcome of docs(doc_id, text).
+    """doc_id, criteria with their justifications, total_score, max_possible, score_pct, hard_fails and outcome of docs(doc_id, text).
 
     meta(doc_id, title, authors, year, journal, doi) holds what the caller knows. Documents without
     any usable reply get zeros for the model's criteria.
     """
     by_name = model_criteria(replies)
-    scored = by_name.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("score", "flags", "hard_fail_triggered")))).alias("model"))
+    scored = by_name.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("score", "flags", "hard_fail_triggered", "justification")))).alias("model"))
     answered = parsed_criteria(replies).select("doc_id").distinct().withColumn("answered", F.lit(True))
     rows = docs.select("doc_id", "text").withColumn("norm", T.normalise(F.col("text"))).withColumn("split", T.lines(F.col("text")))
     rows = with_evidence(rows)
@@ -113,7 +118,7 @@ def scoreboard(docs: DataFrame, replies: DataFrame, meta: DataFrame | None = Non
     flags = F.struct(*[c.alias(n) for c, n in zip(red_flags(norm), ("score", "triggered", "found"))])
     # what the texts say, in few bytes; no text is moved
     rows = rows.select(
-        "doc_id", "data", "experience", flags.alias("red"), T.any_of(norm, L.DOMAIN_KEYWORDS).alias("relevant"),
+        "doc_id", "data", "experience", flags.alias("red"), T.hits(norm, L.DOMAIN_KEYWORDS).alias("domain"),
         (T.has_reference_section(text, norm, split) & T.all_of(norm, L.STRUCTURE_WORDS)).alias("structure"), community_override(norm).alias("community"), ethics_override(norm).alias("ethics"),
         T.inferred_title(text, split=split).alias("own_title"), T.first_year(text).alias("own_year"), T.author_candidates(text, most=3, split=split).alias("own_authors"),
     )
@@ -131,28 +136,38 @@ def scoreboard(docs: DataFrame, replies: DataFrame, meta: DataFrame | None = Non
         "Ethical Source Handling & Consent": (F.col("ethics"), F.lit(8)),
     }
     out = []
+    lost = F.col("answered").isNull()
+    by_model, by_code = F.when(lost, "fallback").otherwise("model"), F.lit("code")
     for name, most, hard in L.MODEL_CRITERIA:
         own = F.try_element_at(F.col("model"), F.lit(name))
         score, triggered = F.coalesce(own["score"], F.lit(0)), F.coalesce(own["hard_fail_triggered"], F.lit(False))
-        flags = F.when(F.col("answered").isNull(), F.array(F.lit("Model unavailable"))).otherwise(F.coalesce(own["flags"], F.array().cast("array<string>")))
+        flags = F.when(lost, F.array(F.lit("Model unavailable"))).otherwise(F.coalesce(own["flags"], F.array().cast("array<string>")))
         if name == "Peer Review Signals":
             hard, triggered = False, F.lit(False)
         passed = score > 0
+        why = F.when(lost, L.WHY_LOST).when(own.isNull(), L.WHY_NOT_NAMED).otherwise(own["justification"])
+        if name in L.WHY_FIXED:
+            why = F.when(overrides[name][0] if name in overrides else F.lit(True), L.WHY_FIXED[name]).otherwise(why)
         if name in overrides:
             applies, least = overrides[name]
             score = F.when(applies, F.greatest(score, least)).otherwise(score)
             triggered, passed = triggered & ~applies, passed | applies
-        out.append(_criterion(name, score, most, passed, hard, triggered, "model", flags))
+        out.append(_criterion(name, score, most, passed, hard, triggered, by_model, why, flags))
     no = F.lit(False)
     empty = F.array().cast("array<string>")
-    m_score, m_passed, _, missing = metadata(title, authors, year, journal, doi)
-    out.append(_criterion(L.CODE_CRITERIA[0], m_score, 10, m_passed, False, no, "code", F.transform(missing, lambda x: F.concat(F.lit("Missing: "), x))))
+    m_score, m_passed, present, missing = metadata(title, authors, year, journal, doi)
+    m_why = F.concat(F.lit("Metadata present: "), quoted(present), F.lit(". Missing: "), quoted(missing), F.lit("."))
+    out.append(_criterion(L.CODE_CRITERIA[0], m_score, 10, m_passed, False, no, by_code, m_why, F.transform(missing, lambda x: F.concat(F.lit("Missing: "), x))))
     r_score, triggered, found = (F.col(f"red.{c}") for c in ("score", "triggered", "found"))
-    out.append(_criterion(L.CODE_CRITERIA[1], r_score, 5, ~triggered, True, triggered, "code", F.transform(found, lambda x: F.concat(F.lit("Red flag: '"), x, F.lit("'")))))
-    e_score = experience_score(verdict(F.col("data"), F.col("experience")))
+    r_why = F.when(triggered, L.WHY_RED).when(F.size(found) > 0, L.WHY_CAUTION).otherwise(L.WHY_NO_RED)
+    out.append(_criterion(L.CODE_CRITERIA[1], r_score, 5, ~triggered, True, triggered, by_code, r_why, F.transform(found, lambda x: F.concat(F.lit("Red flag: '"), x, F.lit("'")))))
+    of_verdict = verdict(F.col("data"), F.col("experience"))
+    e_why = F.element_at(F.create_map(*[F.lit(x) for kv in L.WHY_VERDICT.items() for x in kv]), of_verdict)
     first = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(F.slice(F.array_sort(c), 1, 8), ", ")))
-    out.append(_criterion(L.CODE_CRITERIA[2], e_score, 5, F.lit(True), False, no, "code", F.array_compact(F.array(first("Experience signals: ", F.col("experience")), first("Data-driven signals: ", F.col("data"))))))
-    out.append(_criterion(L.CODE_CRITERIA[3], F.lit(0), 0, F.lit(True), False, no, "code", F.when(F.col("relevant"), empty).otherwise(F.array(F.lit("No configured domain keywords found")))))
+    out.append(_criterion(L.CODE_CRITERIA[2], experience_score(of_verdict), 5, F.lit(True), False, no, by_code, e_why, F.array_compact(F.array(first("Experience signals: ", F.col("experience")), first("Data-driven signals: ", F.col("data"))))))
+    relevant = F.size("domain") > 0
+    d_why = F.when(relevant, F.concat(F.lit(L.WHY_DOMAIN), quoted(F.col("domain")), F.lit("."))).otherwise(L.WHY_NO_DOMAIN)
+    out.append(_criterion(L.CODE_CRITERIA[3], F.lit(0), 0, F.lit(True), False, no, by_code, d_why, F.when(relevant, empty).otherwise(F.array(F.lit("No configured domain keywords found")))))
     rows = rows.select("doc_id", F.array(*out).alias("criteria"))
     return totals(rows)
 
@@ -171,8 +186,10 @@ def outcome(hard_fail: Column, score: Column, reject_below: int = L.REJECT_BELOW
 
 def reason(board: DataFrame) -> Column:
     """Why a document isn't approved; null if it is."""
+    # fixed values: the texts of a record
     share = F.concat(F.lit("Accumulated score "), F.col("total_score"), F.lit("/"), F.col("max_possible"), F.lit(" ("), F.format_string("%.1f", F.col("score_pct")), F.lit("%) "))
-    failed = F.concat(F.lit("Hard-fail criterion triggered: "), F.array_join("hard_fails", "; "))
+    hard = F.filter("criteria", lambda c: c["hard_fail"] & c["hard_fail_triggered"])
+    failed = F.concat(F.lit("Hard-fail criterion triggered: "), F.array_join(F.transform(hard, lambda c: F.concat(c["name"], F.lit(" — "), c["justification"])), "; "))
     below = F.concat(share, F.lit(f"is below the reject threshold of {L.REJECT_BELOW}."))
     band = F.concat(share, F.lit(f"is in the manual review band ({L.REJECT_BELOW}-{L.REVIEW_UP_TO})."))
     return F.when(F.size("hard_fails") > 0, failed).when(F.col("total_score") < L.REJECT_BELOW, below).when(F.col("total_score") <= L.REVIEW_UP_TO, band)
@@ -191,15 +208,32 @@ def log_type() -> Column:
     return F.when(F.col("outcome") == "REJECTED", "rejection").when(F.col("outcome") == "MANUAL_REVIEW", "review").otherwise("approval")
 
 
-def records(board: DataFrame, stamp: Column, path: Column) -> DataFrame:
-    """The evaluation record of each document with its file name."""
-    name = F.concat(stamp, F.lit("_"), log_type(), F.lit("_"), T.safe_name(path), F.lit(".json"))
-    return board.select("doc_id", name.alias("file_name"), "outcome", "total_score", "max_possible", "score_pct", F.size("hard_fails").cast("long").alias("hard_fail_count"), "hard_fails", reason(board).alias("reason"), next_steps().alias("next_steps"), "criteria")
+def stem(path: Column) -> Column:
+    """A path's last part without its last suffix; a leading or trailing dot starts none."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]+$", "")
 
 
-def review_queue(board: DataFrame, stamp: Column) -> DataFrame:
+def records(board: DataFrame, stamp: Column, path: Column, model_used: Column) -> DataFrame:
+    """The whole evaluation record of each document, with its doc_id and file name."""
+    file_name = F.concat(stamp, F.lit("_"), log_type(), F.lit("_"), T.safe_name(stem(path)), F.lit(".json"))
+    band = F.lit(f"{L.REJECT_BELOW}-{L.REVIEW_UP_TO}")
+    thresholds = F.struct(F.lit(L.REJECT_BELOW).alias("reject_below"), band.alias("manual_review_band"), F.lit(L.REVIEW_UP_TO).alias("auto_approve_above"))
+    why = reason(board)
+    return board.select(
+        "doc_id", file_name.alias("file_name"), path.alias("paper"), stem(path).alias("paper_name"), stamp.alias("timestamp"), model_used.alias("model_used"), "outcome",
+        F.col("total_score").alias("accumulated_score"), "total_score", "max_possible", "score_pct", F.size("hard_fails").cast("long").alias("hard_fail_count"), F.col("hard_fails").alias("hard_fail_criteria"),
+        thresholds.alias("thresholds"), F.when(F.col("outcome") == "REJECTED", why).alias("rejection_reason"), F.when(F.col("outcome") == "MANUAL_REVIEW", why).alias("review_reason"),
+        "criteria", next_steps().alias("next_steps"),
+    )
+
+
+def review_queue(board: DataFrame, stamp: Column, path: Column, model_used: Column) -> DataFrame:
+    """The queue's twelve columns for documents that wait for a reviewer, after their doc_id."""
     rows = board.where("outcome = 'MANUAL_REVIEW'")
-    return rows.select(stamp.alias("timestamp"), "doc_id", F.col("total_score").alias("accumulated_score"), "max_possible", "score_pct", F.array_join("hard_fails", "; ").alias("hard_fail_criteria"), reason(rows).alias("review_reason"), F.lit("PENDING").alias("status"), F.lit("").alias("override_by"), F.lit("").alias("override_note"))
+    return rows.select(
+        "doc_id", stamp.alias("timestamp"), stem(path).alias("paper_name"), path.alias("paper_path"), model_used.alias("model_used"), F.col("total_score").alias("accumulated_score"), "max_possible", "score_pct",
+        F.array_join("hard_fails", "; ").alias("hard_fail_criteria"), reason(rows).alias("review_reason"), F.lit("PENDING").alias("status"), F.lit("").alias("override_by"), F.lit("").alias("override_note"),
+    )
 
 
 def status(of_outcome: Column) -> Column:

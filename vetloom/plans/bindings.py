@@ -2,7 +2,7 @@
 
 The texts of the documents table hold none of the phrases that vetting looks for, so each document
 gets an ending chosen by its id; triples are read off the star schema; model replies are formatted
-from events, customers and suppliers.
+from events, customers and suppliers, and good ones from a third of the documents, so that every outcome occurs.
 """
 
 from __future__ import annotations
@@ -72,7 +72,10 @@ REPLIES = """SELECT user_id AS doc_id, event_id AS chunk_idx, CASE WHEN event_id
 '{"name": "Structural Completeness", "score": ', event_id % 23, ', "max_score": 20, "justification": "t', event_id, '", "flags": ["b"], "hard_fail_triggered": false}, ',
 '{"name": "Peer Review Signals", "score": ', event_id % 7, ', "max_score": 7, "justification": "p", "flags": ["c"], "hard_fail_triggered": true}, ',
 '{"name": "Ethical Source Handling & Consent", "score": ', event_id % 40, ', "max_score": 15, "justification": "e', event_id % 3, '", "flags": [], "hard_fail_triggered": false}',
-']}', chr(10), '```') END AS raw FROM events"""
+']}', chr(10), '```') END AS raw FROM events
+UNION ALL SELECT doc_id, CAST(-1 AS BIGINT), concat('{"criteria": [{"name": "Structural Completeness", "score": 5, "max_score": 5, "justification": "whole ', doc_id, '", "flags": [], "hard_fail_triggered": false}, ',
+'{"name": "Peer Review Signals", "score": 18, "max_score": 20, "justification": "a journal", "flags": [], "hard_fail_triggered": false}, ',
+'{"name": "Authorship & Community Alignment (IKAT)", "score": ', doc_id % 26, ', "max_score": 25, "justification": "k', doc_id, '", "flags": ["d"], "hard_fail_triggered": ', CASE WHEN doc_id % 31 = 0 THEN 'true' ELSE 'false' END, '}]}') FROM documents WHERE doc_id % 3 = 1"""
 
 QUESTIONS = """SELECT CAST(1 AS BIGINT) AS qid, 'Who lives in NATION_12 of ASIA?' AS question UNION ALL SELECT 2, 'Which BASED_IN facts are there?'
 UNION ALL SELECT 3, 'What is the capital of France?' UNION ALL SELECT 4, 'Tell me about EUROPE' UNION ALL SELECT 5, 'Who am I?'"""

@@ -61,7 +61,8 @@ RED = f""", f AS (SELECT doc_id, {hits(L.RED_FLAGS)} AS found, {CITES} AS cites
 red AS (SELECT doc_id, found, CASE WHEN len(found) = 0 THEN 5 WHEN cites AND len(list_filter(found, lambda x: x NOT IN {inlist(L.AI_PHRASES)})) = 0 THEN 3 ELSE 0 END AS score FROM f)"""
 
 _ROLL = f"""regexp_extract(regexp_extract(text, '(19\\d{{2}}|20\\d{{2}}|21\\d{{2}})'), '.*')"""
-META = f""", m AS (SELECT n.doc_id, coalesce(nullif(trim(meta.title), ''), list_filter(list_slice({LINES}, 1, 25), lambda x: length(x) > 15 AND NOT lower(x) LIKE 'page %' AND NOT x LIKE '===== Page %')[1], '') AS title,
+TITLES = f"list_filter(list_slice({LINES}, 1, 25), lambda x: length(x) > 15 AND NOT lower(x) LIKE 'page %' AND NOT x LIKE '===== Page %')"
+META = f""", m AS (SELECT n.doc_id, coalesce(nullif(trim(meta.title), ''), {TITLES}[1], '') AS title,
 coalesce(nullif(trim(meta.year), ''), {_ROLL}) AS year, has_authors, coalesce(trim(journal), '') AS journal, coalesce(trim(doi), '') AS doi FROM n JOIN ({B.META}) meta ON n.doc_id = meta.doc_id),
 mm AS (SELECT *, [title <> '', has_authors, year <> '', journal <> '', doi <> ''] AS has FROM m),
 meta2 AS (SELECT doc_id, title, year, 2 * len(list_filter(has, lambda x: x)) AS score,
@@ -90,19 +91,38 @@ fl3 AS (SELECT doc_id, name, list(flag ORDER BY place) AS flags FROM fl2 GROUP B
 agg AS (SELECT mean.*, coalesce(fl3.flags, []) AS flags, justification FROM mean JOIN near USING (doc_id, name) LEFT JOIN fl3 USING (doc_id, name))"""
 
 _M = [n for n, _, _ in L.MODEL_CRITERIA]
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _quoted(items: str) -> str:
+    return f"('[' || array_to_string(list_transform({items}, lambda x: CASE WHEN contains(x, chr(39)) THEN chr(34) || x || chr(34) ELSE chr(39) || x || chr(39) END), ', ') || ']')"
+
+
+_FIXED = [_text(L.WHY_FIXED[n]) for n in _M]
+WHYS = f"""CASE WHEN o0 THEN {_FIXED[0]} ELSE j0 END AS why1, {_FIXED[1]} AS why2, CASE WHEN o2 THEN {_FIXED[2]} ELSE j2 END AS why3, CASE WHEN o3 THEN {_FIXED[3]} ELSE j3 END AS why4,
+'Metadata present: ' || {_quoted("present")} || '. Missing: ' || {_quoted("missing")} || '.' AS why5,
+CASE c6 WHEN 0 THEN {_text(L.WHY_RED)} WHEN 3 THEN {_text(L.WHY_CAUTION)} ELSE {_text(L.WHY_NO_RED)} END AS why6,
+CASE verdict {" ".join(f"WHEN '{k}' THEN {_text(v)}" for k, v in L.WHY_VERDICT.items())} END AS why7,
+CASE WHEN domain THEN {_text(L.WHY_DOMAIN)} || {_quoted("keywords")} || '.' ELSE {_text(L.WHY_NO_DOMAIN)} END AS why8"""
 BOARD = f"""{DOCS}{EVIDENCE}{RED}{META}, {AGGREGATE},
 answered AS (SELECT DISTINCT doc_id FROM items),
-w AS (SELECT doc_id, {", ".join(f"max(CASE WHEN name = '{n}' THEN score END) AS s{k}, bool_or(name = '{n}' AND hard_fail_triggered) AS h{k}, max(CASE WHEN name = '{n}' THEN len(flags) END) AS f{k}" for k, n in enumerate(_M))} FROM agg GROUP BY doc_id),
+w AS (SELECT doc_id, {", ".join(f"max(CASE WHEN name = '{n}' THEN score END) AS s{k}, bool_or(name = '{n}' AND hard_fail_triggered) AS h{k}, max(CASE WHEN name = '{n}' THEN len(flags) END) AS f{k}, max(CASE WHEN name = '{n}' THEN justification END) AS j{k}" for k, n in enumerate(_M))} FROM agg GROUP BY doc_id),
 b0 AS (SELECT n.doc_id, {STRUCTURE} AS o0, {COMMUNITY} AS o2, {ETHICS} AS o3, {some(L.DOMAIN_KEYWORDS)} AS domain, answered.doc_id IS NULL AS lost,
-{", ".join(f"coalesce(s{k}, 0) AS s{k}, coalesce(h{k}, false) AS h{k}, coalesce(f{k}, 0) AS f{k}" for k in range(4))},
+{", ".join(f"coalesce(s{k}, 0) AS s{k}, coalesce(h{k}, false) AS h{k}, coalesce(f{k}, 0) AS f{k}, CASE WHEN answered.doc_id IS NULL THEN {_text(L.WHY_LOST)} ELSE coalesce(j{k}, {_text(L.WHY_NOT_NAMED)}) END AS j{k}" for k in range(4))},
+{hits(L.DOMAIN_KEYWORDS)} AS keywords, meta2.found AS present, verdict,
 meta2.score AS c5, meta2.missing, red.score AS c6, red.found, exper.score AS c7, exper.d, exper.e
 FROM n JOIN meta2 USING (doc_id) JOIN red USING (doc_id) JOIN exper USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN answered ON n.doc_id = answered.doc_id),
 b1 AS (SELECT *, CASE WHEN o0 THEN 20 ELSE s0 END AS c1, s1 AS c2, CASE WHEN o2 THEN greatest(18, s2) ELSE s2 END AS c3, CASE WHEN o3 THEN greatest(8, s3) ELSE s3 END AS c4,
-list_filter([CASE WHEN h0 AND NOT o0 THEN '{_M[0]}' END, CASE WHEN h2 AND NOT o2 THEN '{_M[2]}' END, CASE WHEN h3 AND NOT o3 THEN '{_M[3]}' END, CASE WHEN c6 = 0 THEN 'Red Flag Absence' END], lambda x: x IS NOT NULL) AS fails FROM b0),
+{WHYS},
+list_filter([CASE WHEN h0 AND NOT o0 THEN '{_M[0]}' END, CASE WHEN h2 AND NOT o2 THEN '{_M[2]}' END, CASE WHEN h3 AND NOT o3 THEN '{_M[3]}' END, CASE WHEN c6 = 0 THEN 'Red Flag Absence' END], lambda x: x IS NOT NULL) AS fails,
+list_filter([CASE WHEN h0 AND NOT o0 THEN '{_M[0]} — ' || why1 END, CASE WHEN h2 AND NOT o2 THEN '{_M[2]} — ' || why3 END, CASE WHEN h3 AND NOT o3 THEN '{_M[3]} — ' || why4 END, CASE WHEN c6 = 0 THEN 'Red Flag Absence — ' || why6 END], lambda x: x IS NOT NULL) AS failures FROM b0),
 board AS (SELECT *, CAST(c1 + c2 + c3 + c4 + c5 + c6 + c7 AS BIGINT) AS total_score, round_even(CAST(c1 + c2 + c3 + c4 + c5 + c6 + c7 AS DOUBLE) * 100 / 100, 1) AS pct,
 CASE WHEN len(fails) > 0 OR c1 + c2 + c3 + c4 + c5 + c6 + c7 < 60 THEN 'REJECTED' WHEN c1 + c2 + c3 + c4 + c5 + c6 + c7 <= 75 THEN 'MANUAL_REVIEW' ELSE 'APPROVED' END AS outcome FROM b1)"""
 
-REASON = """CASE WHEN len(fails) > 0 THEN 'Hard-fail criterion triggered: ' || array_to_string(fails, '; ')
+REASON = """CASE WHEN len(fails) > 0 THEN 'Hard-fail criterion triggered: ' || array_to_string(failures, '; ')
 WHEN total_score < 60 THEN format('Accumulated score {}/100 ({:.1f}%) is below the reject threshold of 60.', total_score, pct)
 WHEN total_score <= 75 THEN format('Accumulated score {}/100 ({:.1f}%) is in the manual review band (60-75).', total_score, pct) END"""
 
@@ -228,13 +248,21 @@ AND (coalesce(subject, '') ILIKE '%garo%' OR coalesce(subject, '') ILIKE '%mandi
 unnest([s0 > 0 OR o0, s1 > 0, s2 > 0 OR o2, s3 > 0 OR o3, c5 >= 5, c6 > 0, true, true]) AS passed, unnest([h0 AND NOT o0, false, h2 AND NOT o2, h3 AND NOT o3, false, c6 = 0, false, false]) AS hard_fail_triggered,
 unnest([CASE WHEN lost THEN 1 ELSE f0 END, CASE WHEN lost THEN 1 ELSE f1 END, CASE WHEN lost THEN 1 ELSE f2 END, CASE WHEN lost THEN 1 ELSE f3 END, len(missing), len(found), (len(d) > 0)::INT + (len(e) > 0)::INT, (NOT domain)::INT])::BIGINT AS flag_count FROM board""",
     "outcome_counts": f"{BOARD} SELECT outcome, count(*) AS documents, sum(total_score)::BIGINT AS points FROM board GROUP BY outcome",
+    "fallback_scoreboard": f"""{DOCS}{EVIDENCE}{RED}, own AS (SELECT n.doc_id, red.score AS r,
+CASE WHEN {STRUCTURE} THEN 20 ELSE 0 END + CASE WHEN {COMMUNITY} THEN 18 ELSE 0 END + CASE WHEN {ETHICS} THEN 8 ELSE 0 END + red.score + exper.score
++ CASE WHEN len({TITLES}) > 0 THEN 2 ELSE 0 END + CASE WHEN {_ROLL} <> '' THEN 2 ELSE 0 END AS total
+FROM n JOIN red USING (doc_id) JOIN exper USING (doc_id))
+SELECT doc_id, 'Model unavailable' AS flag, 0::BIGINT AS peer_score, total::BIGINT AS total_score, CASE WHEN r = 0 OR total < 60 THEN 'REJECTED' WHEN total <= 75 THEN 'MANUAL_REVIEW' ELSE 'APPROVED' END AS outcome FROM own""",
     "manual_override": "SELECT doc_id, 'APPROVED' AS outcome, -1::BIGINT AS total_score, 0::BIGINT AS criteria_count FROM documents",
-    "review_queue": f"{BOARD} SELECT '20260101_000000' AS timestamp, doc_id, total_score AS accumulated_score, 100::BIGINT AS max_possible, pct AS score_pct, '' AS hard_fail_criteria, {REASON} AS review_reason, 'PENDING' AS status, '' AS override_by, '' AS override_note FROM board WHERE outcome = 'MANUAL_REVIEW'",
+    "review_queue": f"{BOARD} SELECT '20260101_000000' AS timestamp, doc_id, 'é a-b.' || doc_id AS paper_name, 'papers/é a-b.' || doc_id || '.pdf' AS paper_path, 'a-model' AS model_used, total_score AS accumulated_score, 100::BIGINT AS max_possible, pct AS score_pct, '' AS hard_fail_criteria, {REASON} AS review_reason, 'PENDING' AS status, '' AS override_by, '' AS override_note FROM board WHERE outcome = 'MANUAL_REVIEW'",
     "log_record": f"""{BOARD} SELECT doc_id, '20260101_000000_' || CASE outcome WHEN 'REJECTED' THEN 'rejection' WHEN 'APPROVED' THEN 'approval' ELSE 'review' END || '_é_a-b_' || doc_id || '.json' AS file_name, outcome, total_score, 100::BIGINT AS max_possible,
-pct AS score_pct, len(fails)::BIGINT AS hard_fail_count, array_to_string(fails, '; ') AS hard_fails, {REASON} AS reason,
+'papers/é a-b.' || doc_id || '.pdf' AS paper, 'é a-b.' || doc_id AS paper_name, '20260101_000000' AS timestamp, 'a-model' AS model_used, total_score AS accumulated_score,
+pct AS score_pct, len(fails)::BIGINT AS hard_fail_count, array_to_string(fails, '; ') AS hard_fail_criteria, '60' AS reject_below, '60-75' AS manual_review_band, '75' AS auto_approve_above,
+CASE WHEN outcome = 'REJECTED' THEN {REASON} END AS rejection_reason, CASE WHEN outcome = 'MANUAL_REVIEW' THEN {REASON} END AS review_reason,
+array_to_string([{", ".join(f"why{k}" for k in range(1, 9))}], ' | ') AS justifications, CASE WHEN lost THEN 'fallback | fallback | fallback | fallback' ELSE 'model | model | model | model' END || ' | code | code | code | code' AS evaluators,
 CASE outcome WHEN 'REJECTED' THEN 'REJECTED — paper skipped. Review the hard-fail criteria and criterion justifications before reconsidering this source.' WHEN 'APPROVED' THEN 'APPROVED — paper passed the scoreboard and is ready for knowledge graph extraction.' ELSE 'MANUAL REVIEW — extraction is held pending human review.' END AS next_steps FROM board""",
     "batch_status": f"{BOARD} SELECT CASE WHEN doc_id % 10 = 9 THEN 'ERROR' ELSE replace(outcome, '_', ' ') END AS status, count(*) AS documents FROM board GROUP BY 1",
-    "pending_extraction": f"{BOARD} SELECT doc_id FROM board WHERE outcome <> 'REJECTED' AND doc_id % 2 = 1",
+    "pending_extraction": f"{BOARD} SELECT doc_id FROM board WHERE outcome = 'APPROVED' AND doc_id % 2 = 1",
     "decision_overlay": f"{BOARD} SELECT doc_id, outcome, CASE WHEN doc_id % 5 <> 0 THEN outcome WHEN doc_id % 2 = 0 THEN 'APPROVED' ELSE 'REJECTED' END AS final_outcome FROM board",
     "prompt_render": f"WITH {WORDS} SELECT doc_id, chunk_idx, 'Read part ' || chunk_idx || ' of document ' || doc_id || '.' || chr(10) || chr(10) || 'Passage:' || chr(10) || chunk || chr(10) AS prompt FROM chunks",
     "clean_relations": f"SELECT DISTINCT p_type, {RELATION.format('p_type')} AS relation FROM part",

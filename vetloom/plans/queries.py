@@ -20,6 +20,7 @@ from vetloom.sources.model import prompt
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STAMP = "20260101_000000"
+MODEL = "a-model"
 
 
 def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -325,15 +326,21 @@ def manual_override(t):
     return V.overridden(t(B.DOCS))
 
 
+def path() -> Column:
+    return F.concat(F.lit("papers/é a-b."), F.col("doc_id"), F.lit(".pdf"))
+
+
 @query
 def review_queue(t):
-    return V.review_queue(board(t), F.lit(STAMP))
+    return V.review_queue(board(t), F.lit(STAMP), path(), F.lit(MODEL))
 
 
 @query
 def log_record(t):
-    rows = V.records(board(t), F.lit(STAMP), F.concat(F.lit("é a-b."), F.col("doc_id")))
-    return rows.drop("criteria").withColumn("hard_fails", joined("hard_fails"))
+    rows = V.records(board(t), F.lit(STAMP), path(), F.lit(MODEL))
+    each = [F.array_join(F.col(f"criteria.{c}"), " | ").alias(n) for c, n in (("justification", "justifications"), ("evaluated_by", "evaluators"))]
+    rows = rows.select("*", *each, *[F.col(f"thresholds.{c}").cast("string").alias(c) for c in ("reject_below", "manual_review_band", "auto_approve_above")])
+    return rows.drop("criteria", "thresholds").withColumn("hard_fail_criteria", joined("hard_fail_criteria"))
 
 
 @query
@@ -344,8 +351,7 @@ def batch_status(t):
 
 @query
 def pending_extraction(t):
-    rows = board(t).withColumn("outcome", F.when(F.col("outcome") == "REJECTED", "REJECTED").otherwise("APPROVED"))
-    return V.pending(rows, t("SELECT doc_id FROM documents WHERE doc_id % 2 = 0")).select("doc_id")
+    return V.pending(board(t), t("SELECT doc_id FROM documents WHERE doc_id % 2 = 0")).select("doc_id")
 
 
 @query
