@@ -102,6 +102,46 @@ def test_links_of_repeats(spark):
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
+def test_links_store_no_guests(spark, monkeypatch):
+    # vectors in all directions are guests of nearly all of the 40 cells; what is stored goes with the vectors, not with the cells
+    monkeypatch.setattr(V, "ROWS_PER_PIVOT", 50)
+    stored, made = [], V.materialise
+
+    def materialise(df, name):
+        stored.append(made(df, name))
+        stored[-1].n = stored[-1].count()
+        return stored[-1]
+
+    monkeypatch.setattr(V, "materialise", materialise)
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((2000, 32))
+    m[1:200:2] = m[:200:2] + 0.3 * rng.standard_normal((100, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_links(df).collect()}
+    hit = cosines(m) >= 0.9
+    assert hit.sum() > 2100 and got == {i: (hit[i].sum() - 1, np.nonzero(hit[i])[0][0]) for i in range(2000)}
+    assert sum(x.n for x in stored) <= 8 * len(m)
+
+
+def test_links_of_a_dense_group(spark, monkeypatch):
+    # one group in which nearly all are linked, over several blocks, some cosines at the edge
+    monkeypatch.setattr(V, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal(24) + 0.33 * rng.standard_normal((600, 24))
+    m[300:310] = -m[:10]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    hit = cosines(m) >= 0.9
+    label = np.arange(600)
+    while True:
+        after = np.array([label[h].min() for h in hit])
+        if (after == label).all():
+            break
+        label = after
+    assert 0.3 < hit.mean() < 0.97
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_links(df).collect()}
+    assert got == {i: (hit[i].sum() - 1, label[i]) for i in range(600)}
+
+
 def test_chi_square():
     rng = np.random.default_rng(0)
     x = (rng.standard_normal((100_000, 8)) ** 2).sum(axis=1)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vetloom.llm.components import components
-from vetloom.session import materialise
+from vetloom.session import discard, materialise
 
 # --- common ---------------------------------------------------------------------------------
 
@@ -44,10 +44,6 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def from_bytes(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
-
-
 def units(m: np.ndarray) -> np.ndarray:
     m = m / np.abs(m).max(axis=1, keepdims=True)  # so that no square overflows
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -58,17 +54,25 @@ def units(m: np.ndarray) -> np.ndarray:
 #: Rows a pivot; and most pivots, which bounds what is sent to every task.
 ROWS_PER_PIVOT = 4000
 PIVOTS = 1024
-#: A cell's own members meet all its members in pieces of at most about SLICE times BLOCK.
-SLICE, BLOCK = 6000, 8000
+#: About the most vectors and bytes of a block; vectors of one that meet another block at once.
+BLOCK, BLOCK_BYTES, SLICE = 8192, 4 << 20, 256
+#: Bytes of blocks of either side that one task reads.
+SPAN_BYTES = 64 << 20
 #: Rounding of distances; cells take in a little more than they need.
 SLACK = 1e-9
+#: Cost of a pair that is taken again, in components multiplied.
+AGAIN = 2000
 
 
-def pivots_of(rows: DataFrame, n_rows: int) -> np.ndarray:
-    """A bounded sample of the vectors, no two alike, as unit vectors; the choice changes the cost, never the links."""
+def sample_of(rows: DataFrame, n_rows: int) -> tuple[np.ndarray, int]:
+    """A bounded sample of the vectors as unit vectors, and how many pivots the table has; the choice changes the cost, never the links."""
     k = max(1, min(PIVOTS, -(-n_rows // ROWS_PER_PIVOT)))
-    found = rows.orderBy(F.xxhash64("id")).limit(4 * k).select("vec").toPandas()
-    m = units(matrix(found["vec"]))
+    found = rows.orderBy(F.xxhash64("id")).limit(max(512, 4 * k)).select("vec").toPandas()
+    return units(matrix(found["vec"])), k
+
+
+def pivots_of(m: np.ndarray, k: int) -> np.ndarray:
+    """At most k of the unit vectors, no two alike."""
     kept = [0]
     for i in range(1, len(m)):
         if len(kept) == k:
@@ -78,81 +82,182 @@ def pivots_of(rows: DataFrame, n_rows: int) -> np.ndarray:
     return m[kept]
 
 
-def cells(rows: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
-    """Each vector in its nearest pivot's cell as its own, and as a guest wherever a link may reach from.
+def leading(m: np.ndarray, cosine: float) -> tuple[np.ndarray, int]:
+    """A rotation, most of the unit vectors' length in front, and how many of its components rule most pairs out at least cost."""
+    turn = np.linalg.eigh(m.T @ m)[1][:, ::-1]
+    some = m[:512] @ turn
+    near = some @ some.T
+    apart = near < cosine
+    costs = {}
+    step = max(2, m.shape[1] // 32)
+    for k in [*range(step, m.shape[1], step), m.shape[1]]:
+        most = some[:, :k] @ some[:, :k].T
+        rest = np.sqrt((some[:, k:] ** 2).sum(axis=1))
+        costs[k] = k + AGAIN * ((most + np.outer(rest, rest) >= cosine) & apart).sum() / max(1, apart.sum())
+    return turn, min(costs, key=costs.get)
+
+
+def reaches(m: np.ndarray, home: int, cell: int, pivots: np.ndarray, radius: float) -> np.ndarray:
+    """Which unit vectors of a pivot's cell a link of another cell's members may reach from.
 
     x, nearest to p, may be within the radius of a member of q's cell only if the plane between p and
     q is: (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)) <= radius, which on unit vectors is (x.p - x.q) / d(p,q).
     """
+    if home == cell:
+        return np.ones(len(m), bool)
+    gap = math.sqrt(max(2 - 2 * float(pivots[home] @ pivots[cell]), 0))
+    return m @ (pivots[home] - pivots[cell]) <= (radius + SLACK) * gap
+
+
+def blocks_of(nodes: DataFrame, pivots: np.ndarray, radius: float, length: int) -> DataFrame:
+    """Each vector once, in a block of its nearest pivot's cell; of each block, the cells it has guests in."""
     gaps = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
     np.fill_diagonal(gaps, 1.0)
+    kind = np.float32 if dict(nodes.dtypes)["vec"] == "array<float>" else np.float64
+    most = max(1, min(BLOCK, BLOCK_BYTES // (length * np.dtype(kind).itemsize)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = units(matrix(pdf["vec"]))
-            near = m @ pivots.T
-            home = near.argmax(axis=1)
-            reach = (near[np.arange(len(near)), home][:, None] - near) / gaps[home]
-            row, cell = np.nonzero(reach <= radius + SLACK)
-            packed = np.array([v.tobytes() for v in m], object)
-            uid, weight = pdf["uid"].to_numpy(), pdf["weight"].to_numpy()
-            for i in range(0, len(row), 20_000):
-                r, c = row[i : i + 20_000], cell[i : i + 20_000]
-                yield pd.DataFrame({"uid": uid[r], "unit": packed[r], "weight": weight[r], "cell": c.astype(np.int32), "own": c == home[r]})
-
-    return rows.mapInPandas(run, "uid long, unit binary, weight long, cell int, own boolean")
+    def homes(vectors: pd.Series) -> np.ndarray:
+        return (units(matrix(vectors)) @ pivots.T).argmax(axis=1).astype(np.int32)
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cell, rows = np.unique(homes(pdf["vec"]), return_counts=True)
+                yield pd.DataFrame({"cell": cell, "rows": rows.astype(np.int64)})
 
-def linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
-    """Which rows of a and b, unit vectors, have at least the given cosine.
+    counts = nodes.select("vec").mapInPandas(counted, "cell int, rows long").groupBy("cell").agg(F.sum("rows").alias("rows"))
+    pieces = {r.cell: -(-r.rows // most) for r in counts.collect()}  # a row a pivot
 
-    Single precision finds what may; those pairs are taken again in double, the close ones summed exactly.
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cell = homes(pdf["vec"])
+                piece = pdf["part"].to_numpy() % np.array([pieces.get(c, 1) for c in cell.tolist()], np.int64)
+                packed = [np.asarray(v, kind).tobytes() for v in pdf["vec"]]
+                yield pd.DataFrame({"uid": pdf["uid"], "weight": pdf["weight"], "cell": cell, "piece": piece, "packed": packed})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell, vecs = int(pdf["cell"].iat[0]), b"".join(pdf["packed"])
+        reach = np.zeros(len(pivots), bool)
+        m = units(np.frombuffer(vecs, kind).reshape(len(pdf), -1).astype(np.float64))
+        for i in range(0, len(m), 1024):
+            near = m[i : i + 1024] @ pivots.T
+            reach |= ((near[:, cell][:, None] - near) / gaps[cell] <= radius + SLACK).any(axis=0)
+        reach[cell] = True
+        uids, weights = pdf["uid"].to_numpy(np.int64).tobytes(), pdf["weight"].to_numpy(np.int64).tobytes()
+        return pd.DataFrame({"cell": [cell], "piece": [int(pdf["piece"].iat[0])], "reach": [np.nonzero(reach)[0].astype(np.int32)], "uids": [uids], "weights": [weights], "vecs": [vecs]})
+
+    rows = nodes.select("uid", "weight", F.abs(F.xxhash64("uid") % 1_000_003).alias("part"), "vec")
+    rows = rows.mapInPandas(placed, "uid long, weight long, cell int, piece long, packed binary")
+    # enough files for a small table's tasks; no task packs more than a few blocks of a large one
+    files = max(16, -(-sum(pieces.values()) // 8))
+    rows = rows.repartition(files, "cell", "piece")
+    return rows.groupBy("cell", "piece").applyInPandas(pack, "cell int, piece long, reach array<int>, uids binary, weights binary, vecs binary")
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the trees of i and j in label, in which each node's link leads to a lesser one or, at a root, to itself."""
+
+    def root(at: np.ndarray) -> np.ndarray:
+        x = label[at]
+        while len(x) and (up := label[x]).tobytes() != x.tobytes():
+            x = up
+        label[at] = x
+        return x
+
+    while len(i):
+        x, y = root(i), root(j)
+        apart = x != y
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+
+
+def at_least(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of a have at least the given cosine with the same row of b, unit vectors; close ones are summed exactly."""
+    near = np.einsum("ij,ij->i", a, b)
+    sure = near >= cosine
+    for at in np.nonzero(np.abs(near - cosine) < 1e-13)[0]:
+        sure[at] = math.fsum(a[at] * b[at]) >= cosine
+    return sure
+
+
+class Block:
+    """A block's vectors: as unit vectors, and in single precision some leading components and the length of the others."""
+
+    def __init__(self, cell: int, vecs: bytes, weights: bytes, length: int, kind: type, turn: np.ndarray, k: int):
+        self.cell = cell
+        self.unit = units(np.frombuffer(vecs, kind).reshape(-1, length).astype(np.float64))
+        self.weight = np.frombuffer(weights, np.int64)
+        turned = self.unit @ turn
+        rest = np.sqrt((turned[:, k:] ** 2).sum(axis=1))
+        self.short = np.column_stack([turned[:, :k], rest]).astype(np.float32)
+
+
+def linked(a: Block, b: Block, rows_a: np.ndarray, rows_b: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b) of the given ones that have at least the given cosine, a slice of a's at a time.
+
+    x.y is at most that of leading components plus the product of the others' lengths, which single precision
+    finds for all pairs. What that leaves is taken again in double; where it is much, in single precision first.
     """
-    found = (a.astype(np.float32) @ b.astype(np.float32).T) >= cosine - 1e-4
-    i, j = np.nonzero(found)
-    for k in range(0, len(i), 100_000):
-        x, y = i[k : k + 100_000], j[k : k + 100_000]
-        near = np.einsum("ij,ij->i", a[x], b[y])
-        sure = near >= cosine
-        for at in np.nonzero(np.abs(near - cosine) < 1e-13)[0]:
-            sure[at] = math.fsum(a[x[at]] * b[y[at]]) >= cosine
-        found[x, y] = sure
-    return found
-
-
-def _join_piece(cosine: float):
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between a slice of a cell's own members and a block of all its members.
-
-        Gives each own member's number of links here, and a forest of links that joins what they join.
-        """
-        mine = pdf["own"].to_numpy()
-        if mine.all() or not mine.any():
-            return pd.DataFrame({"a": [], "b": [], "near": []}).astype("int64")
-        a, b = from_bytes(pdf["unit"][mine]), from_bytes(pdf["unit"][~mine])
-        ids_a, ids_b, weight = pdf["uid"].to_numpy()[mine], pdf["uid"].to_numpy()[~mine], pdf["weight"].to_numpy()[~mine]
-        label = np.arange(len(b))
-        near = np.zeros(len(a), np.int64)
-        touched, joins = np.zeros(len(b), bool), []
-        for i in range(0, len(a), 256):
-            hit = linked(a[i : i + 256], b, cosine)
-            near[i : i + 256] = hit @ weight
-            for k, row in enumerate(hit):
-                at = np.nonzero(row)[0]
-                if not len(at):
-                    continue
-                touched[at] = True
-                seen = np.unique(label[at])
-                if len(seen) > 1:
-                    label[np.isin(label, seen[1:])] = seen[0]
-                joins.append((i + k, at[0]))
-        out = pd.DataFrame({"a": ids_a, "b": ids_a, "near": near})
-        for k, at in joins:
-            out.iat[k, 1] = ids_b[label[at]]
-        forest = np.nonzero(touched)[0]
-        return pd.concat([out, pd.DataFrame({"a": ids_b[forest], "b": ids_b[label[forest]], "near": 0})])
+    slip = 1e-5 + 4e-7 * a.unit.shape[1]  # of single precision
+    short = b.short[rows_b].T
+    whole = None
+    for s in range(0, len(rows_a), SLICE):
+        mine = rows_a[s : s + SLICE]
+        most = a.short[mine] @ short
+        at = np.flatnonzero(most >= np.float32(cosine - slip))
+        if not len(at):
+            continue
+        i, j = np.divmod(at, len(rows_b))
+        i, j = mine[i], rows_b[j]
+        known = np.zeros(len(i), bool)
+        if len(at) * 32 > most.size:
+            whole = b.unit[rows_b].astype(np.float32).T if whole is None else whole
+            near = (a.unit[mine].astype(np.float32) @ whole).ravel()[at]
+            known = near >= cosine + slip
+            may = near >= cosine - slip
+            i, j, known = i[may], j[may], known[may]
+        for n in range(0, len(i), 20_000):
+            left = n + np.nonzero(~known[n : n + 20_000])[0]
+            known[left] = at_least(a.unit[i[left]], b.unit[j[left]], cosine)
+        yield i[known], j[known]
+
+
+def _join_blocks(pivots: np.ndarray, radius: float, cosine: float, length: int, kind: type, turn: np.ndarray, k: int):
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links between pairs of blocks, of one task: each vector's number, and a forest of links that joins what they join."""
+        start: dict[tuple, int] = {}
+        ids, near, label = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last: tuple = (None, None)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                keys = (r.cell, r.piece), (r.cell_b, r.piece_b)
+                for key, uids in zip(keys, (r.uids, r.uids_b)):
+                    if key not in start:
+                        start[key] = len(label)
+                        ids.append(np.frombuffer(uids, np.int64))
+                        near = np.append(near, np.zeros(len(ids[-1]), np.int64))
+                        label = np.append(label, np.arange(len(label), len(label) + len(ids[-1])))
+                if last[0] != keys[0]:
+                    last = keys[0], Block(r.cell, r.vecs, r.weights, length, kind, turn, k)
+                a = last[1]
+                b = a if keys[0] == keys[1] else Block(r.cell_b, r.vecs_b, r.weights_b, length, kind, turn, k)
+                guests_a = np.nonzero(reaches(a.unit, a.cell, b.cell, pivots, radius))[0]
+                guests_b = np.nonzero(reaches(b.unit, b.cell, a.cell, pivots, radius))[0]
+                from_a, from_b = start[keys[0]], start[keys[1]]
+                for i, j in linked(a, b, guests_a, guests_b, cosine):
+                    near[from_a : from_a + len(a.unit)] += np.bincount(i, b.weight[j], len(a.unit)).astype(np.int64)
+                    if a is not b:
+                        near[from_b : from_b + len(b.unit)] += np.bincount(j, a.weight[i], len(b.unit)).astype(np.int64)
+                    unite(label, from_a + i, from_b + j)
+        if ids:
+            own = np.concatenate(ids)
+            while (up := label[label]).tobytes() != label.tobytes():
+                label = up
+            met = np.nonzero(near)[0]
+            for n in range(0, len(met), 50_000):
+                at = met[n : n + 50_000]
+                yield pd.DataFrame({"a": own[at], "b": own[label[at]], "near": near[at]})
 
     return join
 
@@ -160,30 +265,48 @@ def _join_piece(cosine: float):
 def near_links(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """id, n_links, component and kept of every row: links are pairs of the given cosine or more.
 
-    Equal vectors are one node of their count, so copies are never compared with each other. A
-    cell's own members meet all its members in slices and blocks, so a cell of any size is dealt out.
+    Equal vectors are one node of their count, so copies are never compared with each other. Each node is
+    written once, in a block of its cell. Pairs of blocks, of cells that have guests of each other, meet
+    in a task that reads both; guests are picked there and never stored, so disk goes with the input
+    however many cells a vector is a guest of. A cell of any size is dealt out.
     """
     rows, length = usable_rows(df, id_col, vec_col)
-    rows = materialise(rows.withColumn("h", F.xxhash64("vec")), "vectors")
-    nodes = rows.groupBy("h", "vec").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    if dict(df.dtypes)[vec_col] == "array<float>":
+        rows = rows.withColumn("vec", F.col("vec").cast("array<float>"))  # as it was, in half the bytes
+    rows = materialise(rows.withColumn("h", F.xxhash64("vec")).withColumn("g", F.xxhash64(F.lit(1), "vec")), "vectors")
+    nodes = rows.groupBy("h", "g", "vec").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     nodes = materialise(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
     n = nodes.count()
-    pivots = pivots_of(nodes, n) if n else np.eye(1)
-    placed = materialise(cells(nodes.select("uid", "vec", "weight"), pivots, math.sqrt(2 - 2 * cosine)), "cells")
-    counts = placed.groupBy("cell").agg(F.ceil(F.count_if("own") / SLICE).alias("slices"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = placed.join(F.broadcast(counts), "cell")  # a row a pivot
-    part = F.xxhash64("uid")
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    own = dealt.where("own").withColumn("slice", F.pmod(part, "slices")).withColumn("block", upto("blocks"))
-    every = dealt.where("slices > 0").withColumn("own", F.lit(False)).withColumn("block", F.pmod(part, "blocks")).withColumn("slice", upto("slices"))
-    pieces = own.unionByName(every).select("cell", "slice", "block", "uid", "unit", "weight", "own")
-    found = materialise(pieces.groupBy("cell", "slice", "block").applyInPandas(_join_piece(cosine), "a long, b long, near long"), "links")
+    # hashes stand for vectors from here on, if no two vectors share them
+    key = ["h", "g"] if nodes.select("h", "g").distinct().count() == n else ["h", "g", "vec"]
+    ids = materialise(rows.select("id", *key), "ids")
+    discard(rows)
+    of = materialise(nodes.select("uid", "id", *key), "node_ids")
+    sample, k = sample_of(nodes, n) if n else (np.eye(1), 1)
+    pivots, radius = pivots_of(sample, k), math.sqrt(max(0, 2 - 2 * cosine))
+    turn, front = leading(sample, cosine)
+    blocks = materialise(blocks_of(nodes, pivots, radius, max(1, length)), "blocks")
+    kind = np.float32 if dict(nodes.dtypes)["vec"] == "array<float>" else np.float64
+    discard(nodes)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spans = max(math.ceil(2 * math.sqrt(cores)), -(-n * length * np.dtype(kind).itemsize // SPAN_BYTES))
+    a = blocks.coalesce(spans)
+    b = blocks.select(*[F.col(c).alias(f"{c}_b") for c in blocks.columns]).coalesce(spans)
+    same = (F.col("cell") == F.col("cell_b")) & (F.col("piece") == F.col("piece_b"))
+    before = (F.col("cell") < F.col("cell_b")) | ((F.col("cell") == F.col("cell_b")) & (F.col("piece") < F.col("piece_b")))
+    even = (F.col("cell") + F.col("piece") + F.col("cell_b") + F.col("piece_b")) % 2 == 0
+    once = same | (~same & (before == even))  # each pair in one of its orders, as many in either
+    guests = F.array_contains("reach", F.col("cell_b")) & F.array_contains("reach_b", F.col("cell"))
+    pairs = a.hint("shuffle_replicate_nl").join(b, once & guests).drop("reach", "reach_b")
+    join = _join_blocks(pivots, radius, cosine, max(1, length), kind, turn, front)
+    found = materialise(pairs.mapInPandas(join, "a long, b long, near long"), "links")
+    discard(blocks)
     near = found.groupBy("a").agg((F.sum("near") - 1).alias("n_links"))  # but for the vector itself
     joined = components(found.select("a", "b"))
-    of = nodes.join(joined, nodes["uid"] == joined["node"], "left").withColumn("component", F.coalesce("component", "uid"))
+    of = of.join(joined, of["uid"] == joined["node"], "left").withColumn("component", F.coalesce("component", "uid"))
     least = of.groupBy("component").agg(F.min("id").alias("component_id"))
-    of = of.join(least, "component").join(near, F.col("uid") == near["a"]).select("h", "vec", "n_links", "component_id")
-    known = rows.join(of, ["h", "vec"]).select("id", "n_links", "component_id")
+    of = of.join(least, "component").join(near, F.col("uid") == near["a"]).select(*key, "n_links", "component_id")
+    known = ids.join(of, key).select("id", "n_links", "component_id")
     other = F.coalesce(F.size(vec_col), F.lit(-1)) != length
     rest = df.where(~usable(F.col(vec_col).cast("array<double>")) | F.col(id_col).isNull() | other)
     rest = rest.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
