@@ -52,16 +52,16 @@ def units(m: np.ndarray) -> np.ndarray:
 # --- metric range join ----------------------------------------------------------------------
 
 #: Rows a pivot; and most pivots, which bounds what is sent to every task.
-ROWS_PER_PIVOT = 4000
+ROWS_PER_PIVOT = 8000
 PIVOTS = 1024
-#: About the most vectors and bytes of a block; vectors of one that meet another block at once.
-BLOCK, BLOCK_BYTES, SLICE = 8192, 4 << 20, 256
+#: About the most vectors and bytes of a block; vectors of two blocks that meet at once.
+BLOCK, BLOCK_BYTES, SLICE = 16_384, 4 << 20, 512
 #: Bytes of blocks of either side that one task reads.
 SPAN_BYTES = 64 << 20
 #: Rounding of distances; cells take in a little more than they need.
 SLACK = 1e-9
 #: Cost of a pair that is taken again, in components multiplied.
-AGAIN = 2000
+AGAIN = 20_000
 
 
 def sample_of(rows: DataFrame, n_rows: int) -> tuple[np.ndarray, int]:
@@ -193,34 +193,46 @@ class Block:
         self.short = np.column_stack([turned[:, :k], rest]).astype(np.float32)
 
 
+def true_at(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero() of a mask in which little is true, by words of eight first."""
+    if mask.size % 8:
+        return np.flatnonzero(mask)
+    words = mask.reshape(-1, 8)
+    some = np.flatnonzero(words.view(np.uint64) != 0)
+    at = np.flatnonzero(words[some])
+    return some[at // 8] * 8 + at % 8
+
+
 def linked(a: Block, b: Block, rows_a: np.ndarray, rows_b: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows of a, rows of b) of the given ones that have at least the given cosine, a slice of a's at a time.
+    """(rows of a, rows of b) of the given ones that have at least the given cosine, a slice of each at a time.
 
     x.y is at most that of leading components plus the product of the others' lengths, which single precision
     finds for all pairs. What that leaves is taken again in double; where it is much, in single precision first.
     """
     slip = 1e-5 + 4e-7 * a.unit.shape[1]  # of single precision
-    short = b.short[rows_b].T
-    whole = None
+    wide = 2 * SLICE
+    slices = [(rows_b[t : t + wide], np.ascontiguousarray(b.short[rows_b[t : t + wide]].T)) for t in range(0, len(rows_b), wide)]
     for s in range(0, len(rows_a), SLICE):
         mine = rows_a[s : s + SLICE]
-        most = a.short[mine] @ short
-        at = np.flatnonzero(most >= np.float32(cosine - slip))
-        if not len(at):
-            continue
-        i, j = np.divmod(at, len(rows_b))
-        i, j = mine[i], rows_b[j]
-        known = np.zeros(len(i), bool)
-        if len(at) * 32 > most.size:
-            whole = b.unit[rows_b].astype(np.float32).T if whole is None else whole
-            near = (a.unit[mine].astype(np.float32) @ whole).ravel()[at]
-            known = near >= cosine + slip
-            may = near >= cosine - slip
-            i, j, known = i[may], j[may], known[may]
-        for n in range(0, len(i), 20_000):
-            left = n + np.nonzero(~known[n : n + 20_000])[0]
-            known[left] = at_least(a.unit[i[left]], b.unit[j[left]], cosine)
-        yield i[known], j[known]
+        short = a.short[mine]
+        for theirs, other in slices:
+            most = short @ other >= np.float32(cosine - slip)
+            at = true_at(most.ravel())
+            if not len(at):
+                continue
+            i, j = np.divmod(at, len(theirs))
+            i, j = mine[i], theirs[j]
+            known = np.zeros(len(i), bool)
+            if len(at) * 32 > most.size:
+                near = (a.unit[mine].astype(np.float32) @ b.unit[theirs].astype(np.float32).T).ravel()[at]
+                known, may = near >= cosine + slip, near >= cosine - slip
+                i, j, known = i[may], j[may], known[may]
+            left = np.nonzero(~known)[0]
+            for n in range(0, len(left), 5000):
+                few = left[n : n + 5000]
+                known[few] = at_least(a.unit[i[few]], b.unit[j[few]], cosine)
+            if known.any():
+                yield i[known], j[known]
 
 
 def _join_blocks(pivots: np.ndarray, radius: float, cosine: float, length: int, kind: type, turn: np.ndarray, k: int):
@@ -246,9 +258,9 @@ def _join_blocks(pivots: np.ndarray, radius: float, cosine: float, length: int,
                 guests_b = np.nonzero(reaches(b.unit, b.cell, a.cell, pivots, radius))[0]
                 from_a, from_b = start[keys[0]], start[keys[1]]
                 for i, j in linked(a, b, guests_a, guests_b, cosine):
-                    near[from_a : from_a + len(a.unit)] += np.bincount(i, b.weight[j], len(a.unit)).astype(np.int64)
+                    np.add.at(near, from_a + i, b.weight[j])
                     if a is not b:
-                        near[from_b : from_b + len(b.unit)] += np.bincount(j, a.weight[i], len(b.unit)).astype(np.int64)
+                        np.add.at(near, from_b + j, a.weight[i])
                     unite(label, from_a + i, from_b + j)
         if ids:
             own = np.concatenate(ids)
